@@ -53,3 +53,55 @@ def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow column; NULL becomes ''."""
     return [x or "" for x in column.to_pylist()]
+
+
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed_hash(values: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit mix of 64-bit values."""
+    with np.errstate(over="ignore"):
+        x = (values ^ np.uint64(salt * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) * GOLD
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+    return x
+
+
+def histogram(df, count, bits: int, rows: int = 1):
+    """Sum over all batches of ``count(batch) -> int array (rows, 2**bits)``; comes to the driver as one array of that fixed size.
+
+    Every task adds up what it reads and passes on slices, so that no task ever gets more than one slice of each task.
+    """
+    size, slices = 1 << bits, 16
+
+    def partial(batches):
+        total = np.zeros((rows, size), np.int64)
+        for b in batches:
+            total += count(b)
+        parts = np.split(total, slices, axis=1)
+        used = [k for k in range(slices) if parts[k].any()]
+        yield pa.record_batch({"slice": pa.array(used, pa.int32()), "blob": pa.array([_packed(parts[k]) for k in used], pa.binary())})
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = sum(_unpacked(x) for x in t["blob"].to_pylist())
+        return pa.table({"slice": t["slice"][:1], "blob": pa.array([_packed(total)], pa.binary())})
+
+    schema = "slice int, blob binary"
+    out = np.zeros((rows, size), np.int64)
+    for r in df.mapInArrow(partial, schema).groupBy("slice").applyInArrow(summed, schema).collect():
+        width = size // slices
+        out[:, r["slice"] * width : (r["slice"] + 1) * width] = _unpacked(r["blob"]).reshape(rows, width)
+    return out
+
+
+def _packed(a: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64)

@@ -47,4 +47,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mixed(sized, plan), plan)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_clean, p9_mix, p9_shares)}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.pair_defects import pair_defects
+
+    return pair_defects(table(spark, folder, "law_qa"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_clean, p9_mix, p9_shares)}
