@@ -53,4 +53,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(table(spark, folder, "law_qa"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_clean, p9_mix, p9_shares)}
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.language import fit_language_model, languages
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    codes = sorted(r["lang_code"] for r in table(spark, folder, "lang_code").collect())
+    return languages(docs, fit_language_model(docs, codes))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.language import label_errors
+
+    return label_errors(_languages(spark, folder))
+
+
+def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_clean, p9_mix, p9_shares, p10_found, p10_languages)}
