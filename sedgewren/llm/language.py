@@ -98,7 +98,7 @@ class LanguageModel:
 SCALE = 30.0
 
 
-def fit_ftrl(texts: list[str], labels: np.ndarray, codes: list[str], idf: np.ndarray, alpha=0.3, beta=1.0, l1=0.05, l2=0.5, epochs=4, batch=64, seed=0) -> LanguageModel:
+def fit_ftrl(texts: list[str], labels: np.ndarray, codes: list[str], idf: np.ndarray, alpha=0.3, beta=1.0, l1=0.5, l2=0.5, epochs=3, batch=96, seed=0) -> LanguageModel:
     """FTRL-proximal over mini-batches of lines, then a temperature on the tenth of lines kept apart."""
     k = len(codes)
     z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
@@ -117,6 +117,8 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, codes: list[str], idf: np.nda
     def weights(zz, nn):
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
+    heavy = np.bincount(labels[train], minlength=k)
+    heavy = np.clip(np.sqrt(heavy.max() / np.maximum(heavy, 1)), 1, 4)  # rare languages weigh more
     rng = np.random.default_rng(seed + 1)
     for _ in range(epochs):
         rng.shuffle(train)
@@ -125,17 +127,16 @@ def fit_ftrl(texts: list[str], labels: np.ndarray, codes: list[str], idf: np.nda
             u = np.concatenate([features[t][0] for t in rows])
             v = np.concatenate([features[t][1] for t in rows])
             r = np.repeat(np.arange(len(rows)), [len(features[t][0]) for t in rows])
-            x = np.zeros((len(rows), k))
             w = weights(z[u], n[u])
-            np.add.at(x, r, w * v[:, None])
+            x = np.add.reduceat(w * v[:, None], np.concatenate([[0], np.cumsum([len(features[t][0]) for t in rows])[:-1]]), axis=0)
             bias = weights(zb, nb)
             x += bias
             p = np.exp(x - x.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), labels[rows]] -= 1
+            p *= heavy[labels[rows], None]
             uu, inv = np.unique(u, return_inverse=True)
-            g = np.zeros((len(uu), k))
-            np.add.at(g, inv, p[r] * v[:, None])
+            g = np.stack([np.bincount(inv, weights=p[r, c] * v, minlength=len(uu)) for c in range(k)], 1)
             old, grown = weights(z[uu], n[uu]), n[uu] + g * g
             z[uu] += g - (np.sqrt(grown) - np.sqrt(n[uu])) / alpha * old
             n[uu] = grown
@@ -161,11 +162,11 @@ def base_code(lang):
     return F.when(code.isin("und", "unk", "mul", "zxx"), "").otherwise(code)
 
 
-def fit_language_model(docs: DataFrame, codes: list[str], text_col: str = "text", lang_col: str = "lang", sample_docs: int = 4000, rounds: int = 2, seed: int = 0) -> LanguageModel:
-    """Fit on lines of at most ``sample_docs`` labelled documents, spread over the labels; the fit cleans its own labels.
+def fit_language_model(docs: DataFrame, codes: list[str], text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2400, sample_pieces: int = 12000, rounds: int = 2, seed: int = 0) -> LanguageModel:
+    """Fit on at most ``sample_pieces`` sentences of at most ``sample_docs`` labelled documents, spread evenly over the labels.
 
-    The first round learns from the labels as they are; each further round leaves out the lines whose label the last model
-    thinks improbable (below 0.2), which removes wrong labels and lines in another language.
+    Labels are cleaned first: in each round the sentences are halved, and a sentence is left out if the model of the other half
+    prefers another language than its label's. That removes wrong labels and passages in another language.
     """
     counted = document_frequencies(docs.where(F.col(text_col).isNotNull()).select(text_col))
     total = max(1, docs.count())
@@ -176,16 +177,30 @@ def fit_language_model(docs: DataFrame, codes: list[str], text_col: str = "text"
     for c in codes:
         part = labelled.where(F.col("l") == c).select("t", "l", F.xxhash64("t", F.lit(seed)).alias("h")).orderBy("h", "t").limit(per)
         picked = part if picked is None else picked.unionByName(part)
-    rows = [(line, codes.index(r["l"])) for r in picked.collect() for line in line_split(r["t"])]
+    rows = [(line, codes.index(r["l"])) for r in picked.collect() for line in line_split(r["t"]) for line in _pieces(line)]
+    rng, by_label = np.random.default_rng(seed), {}
+    for i in rng.permutation(len(rows)):
+        by_label.setdefault(rows[i][1], []).append(i)
+    rows = [rows[i] for part in by_label.values() for i in part[: max(1, sample_pieces // len(codes))]]
     texts, labels = [x for x, _ in rows], np.array([y for _, y in rows], dtype=np.int64)
     if not len(texts):
         return LanguageModel(codes, np.zeros((1 << BITS, len(codes)), np.float32), np.zeros(len(codes)), idf)
-    model, keep = None, np.ones(len(texts), bool)
+    keep, fold = np.ones(len(texts), bool), np.random.default_rng(seed).integers(0, 2, len(texts))
     for _ in range(rounds):
-        at = np.flatnonzero(keep)
-        model = fit_ftrl([texts[i] for i in at], labels[at], codes, idf, seed=seed)
-        keep = model.probabilities(texts)[np.arange(len(texts)), labels] >= 0.2
-    return model
+        agrees = keep.copy()
+        for side in (0, 1):
+            at, other = np.flatnonzero(keep & (fold == side)), np.flatnonzero(keep & (fold != side))
+            if len(at) and len(other):
+                half = fit_ftrl([texts[i] for i in at], labels[at], codes, idf, seed=seed)
+                agrees[other] = half.logits([texts[i] for i in other]).argmax(axis=1) == labels[other]
+        keep = agrees
+    at = np.flatnonzero(keep)
+    return fit_ftrl([texts[i] for i in at], labels[at], codes, idf, seed=seed)
+
+
+def _pieces(line: str) -> list[str]:
+    """Sentences of a training line, so that short texts are learnt too."""
+    return [x for x in re.split(r"(?<=[。！？.!?])\s*(?=\D)", line) if len(x) >= 8] or [line]
 
 
 def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
