@@ -47,6 +47,18 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mixed(sized, plan), plan)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.near_pairs import near_pairs
+
+    return near_pairs(table(spark, folder, "law_qa"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.near_pairs import near_groups
+
+    return near_groups(table(spark, folder, "law_qa"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.pair_defects import pair_defects
 
@@ -71,4 +83,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p5_found, p5_clean, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p9_mix, p9_shares, p10_found, p10_languages)}
