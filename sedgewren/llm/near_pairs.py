@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,8 +159,8 @@ def _pairs(x: pa.Table, t: float, at_once: int = 2_000_000):
         r, s = r[ok], s[ok]
         if len(r):
             a, b = ids.take(pa.array(r)), ids.take(pa.array(s))
-            pair = pa.record_batch([pa.compute.min_element_wise(a, b), pa.compute.max_element_wise(a, b)], names=["a", "b"])
-            yield pair.filter(pa.compute.not_equal(a, b))
+            pair = pa.record_batch([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"])
+            yield pair.filter(pc.not_equal(a, b))
 
 
 def _similar(left: list[str], right: list[str], t: float, n: int) -> np.ndarray:

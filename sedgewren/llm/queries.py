@@ -65,6 +65,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(table(spark, folder, "law_qa"))
 
 
+def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.neighbours import nearest
+
+    both = [nearest(table(spark, folder, t)).select(F.lit(t).alias("collection"), "id", "neighbour", F.round("similarity", 5).alias("similarity"), "rank") for t in ("law_cases", "law_clause")]
+    return both[0].unionByName(both[1])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.neighbours import nearest
+
+    both = [nearest(table(spark, folder, t)).select(F.lit(t).alias("collection"), F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")) for t in ("law_cases", "law_clause")]
+    return both[0].unionByName(both[1]).distinct()
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.language import fit_language_model, languages
 
@@ -83,4 +97,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
