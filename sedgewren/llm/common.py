@@ -105,3 +105,16 @@ def _unpacked(b: bytes) -> np.ndarray:
     import zstandard
 
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.int64)
+
+
+def bounded(texts: list[str], chars: int = 400_000):
+    """Cut a list of texts into lists of about ``chars`` characters, so that arrays over them stay small."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import code_points, histogram, mixed_hash, strings
+from sedgewren.llm.common import bounded, code_points, histogram, mixed_hash, strings
 
 BITS = 16
 ORDERS = 3
@@ -57,10 +57,10 @@ def document_frequencies(texts: DataFrame):
     """Documents that hold each hashed gram, over all rows of the one-column frame ``texts``."""
 
     def count(batch: pa.RecordBatch) -> np.ndarray:
-        keys, of = grams(strings(batch.column(0)))
-        seen = np.unique(of.astype(np.int64) << BITS | keys)
-        out = np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)[None]
-        out[0, 0] += 0
+        out = np.zeros((1, 1 << BITS), np.int64)
+        for part in bounded(strings(batch.column(0))):
+            keys, of = grams(part)
+            out[0] += np.bincount(np.unique(of.astype(np.int64) << BITS | keys) & ((1 << BITS) - 1), minlength=1 << BITS)
         return out
 
     return histogram(texts, count, BITS)[0]
@@ -219,7 +219,7 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
         for b in batches:
             split = [line_split(t) for t in strings(b.column("t"))]
             flat = [x for lines in split for x in lines]
-            p = m.probabilities(flat)
+            p = np.concatenate([np.zeros((0, len(m.codes))), *(m.probabilities(part) for part in bounded(flat))])
             out = ([], [], [], [], [])
             at = 0
             for i, lines, label in zip(b.column("i").to_pylist(), split, b.column("l").to_pylist()):
