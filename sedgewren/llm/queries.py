@@ -65,6 +65,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(table(spark, folder, "law_qa"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.split_overlap import cross_split_overlaps
+
+    return cross_split_overlaps(table(spark, folder, "raw")).select("row_a", "row_b")
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.split_overlap import overlap_report
+
+    return overlap_report(table(spark, folder, "raw"))
+
+
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.neighbours import nearest
 
@@ -97,4 +109,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
