@@ -65,6 +65,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects(table(spark, folder, "law_qa"))
 
 
+def _personal_model(spark: SparkSession, folder: str):
+    from sedgewren.llm.personal import personal_model
+
+    qa, chunk = table(spark, folder, "law_qa"), table(spark, folder, "law_chunk")
+    return personal_model([qa.select("question"), qa.select("answer"), chunk.select("text_content")])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.personal import personal_spans
+
+    model, out = _personal_model(spark, folder), None
+    for name, field in (("law_qa", "question"), ("law_qa", "answer"), ("law_chunk", "text_content")):
+        found = personal_spans(table(spark, folder, name), model, field)
+        found = found.select(F.lit(name).alias("table_name"), F.col("row_id").cast("int").alias("row_id"), F.lit(field).alias("field_name"), "pii_type", "start_pos")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.personal import redacted
+
+    model = _personal_model(spark, folder)
+    qa, chunk = redacted(table(spark, folder, "law_qa"), model, ["question", "answer"]), redacted(table(spark, folder, "law_chunk"), model, ["text_content"])
+    return qa.selectExpr("'law_qa' AS table_name", "id", "question", "answer", "CAST(NULL AS STRING) AS text_content").unionByName(
+        chunk.selectExpr("'law_chunk' AS table_name", "id", "CAST(NULL AS STRING) AS question", "CAST(NULL AS STRING) AS answer", "text_content")
+    )
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.split_overlap import cross_split_overlaps
 
@@ -109,4 +137,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
