@@ -47,6 +47,17 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(mixed(sized, plan), plan)
 
 
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.page_noise import page_model, repaired
+
+    chunks = table(spark, folder, "law_chunk")
+    return repaired(chunks, page_model(chunks))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_repaired(spark, folder).select(F.col("id").cast("int").alias("chunk_id"), F.explode("noise_kinds").alias("noise_kind"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.near_pairs import near_pairs
 
@@ -137,4 +148,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
