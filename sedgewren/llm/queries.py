@@ -22,6 +22,20 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return strip_repeated_lines(table(spark, folder, "law_chunk"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.packing import packed_all
+    from sedgewren.llm.tokens import token_count
+
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("key"), token_count(F.col("text")).alias("tokens"))
+    return packed_all(docs, table(spark, folder, "container_size")).withColumnRenamed("key", "doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.packing import packing_report
+
+    return packing_report(p8_containers(spark, folder))
+
+
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.tokens import token_count
 
@@ -148,4 +162,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_languages)}
