@@ -36,6 +36,19 @@ def gram_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     if len(points) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
     of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    if len(texts) <= 1 << 16 and points.max() < 1 << 16:  # one 64-bit key holds text and characters, and sorts fast
+        inside = of[: len(points) - n + 1] == of[n - 1 :]
+        key = of[: len(inside)].astype(np.uint64) << np.uint64(48)
+        for k in range(n):
+            key |= points[k : len(inside) + k].astype(np.uint64) << np.uint64(16 * (n - 1 - k))
+        key = np.sort(key[inside])
+        if len(key):
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        of = (key >> np.uint64(48)).astype(np.int64)
+        value = np.zeros(len(key), np.uint64)
+        for k in range(n):
+            value = (value << np.uint64(21)) | ((key >> np.uint64(16 * (n - 1 - k))) & np.uint64(0xFFFF))
+        return value, of, np.bincount(of, minlength=len(texts))
     wide = points.astype(np.uint64)
     value = np.zeros(len(wide) - n + 1, np.uint64)
     for k in range(n):

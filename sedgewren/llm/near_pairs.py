@@ -5,7 +5,7 @@ the sizes of a pair (a row's size band) and forces it to share one of the rarest
 one fixed order), so rows meet only in tiles of one sequence and neighbouring sizes. Within a tile, positions and the bit
 counts of hashed bitmap signatures bound the overlap from above before sorted arrays are intersected exactly. The order comes
 from a histogram of all sequences in hash buckets of a fixed number; any order gives the exact result, a rare-first one a fast one.
-Tiles with many rows are cut into blocks and the blocks compared two by two in different tasks.
+Tiles of sequences that occur very often are cut into blocks, and the blocks compared two by two in different tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from sedgewren.llm.common import fold, gram_sets, histogram, mixed_hash, strings
 from sedgewren.session import written
 
 ORDER_BITS = 20
-WORDS = 4
+WORDS = 2
 
 
 def _bucket(value: np.ndarray) -> np.ndarray:
@@ -50,48 +50,36 @@ def classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, text_col).mapInArrow(folded, f"id {kind}, folded string")
 
 
-def near_classes(texts: DataFrame, t: float = 0.7, n: int = 3, block: int = 4000) -> DataFrame:
+def near_classes(texts: DataFrame, order: np.ndarray, t: float = 0.7, n: int = 3, block: int = 50_000) -> DataFrame:
     """(a, b) class pairs, a < b, whose sets of ``n``-character sequences have at least ``t`` of their union in common.
 
-    ``texts`` has (class_id, folded) with one row for each distinct text. Texts below ``n`` characters have no sequence and
-    no pair. The result is exact.
+    ``texts`` has (class_id, folded) with one row for each distinct text; ``order`` is ``sequence_counts`` of them. Texts below
+    ``n`` characters have no sequence and no pair. The result is exact. A text is sent once to each task that holds some of its
+    tiles. The tile of a sequence that occurs more than ``block`` times is cut into blocks, each two of which are a tile.
     """
     spark = texts.sparkSession
-
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        value, _, _ = gram_sets(strings(batch.column("folded")), n)
-        return np.bincount(_bucket(value), minlength=1 << ORDER_BITS)[None]
-
-    common = spark.sparkContext.broadcast(np.minimum(histogram(texts.select("folded"), count, ORDER_BITS)[0], (1 << 31) - 1).astype(np.int32))
-    posting = f"key long, id {texts.schema['class_id'].dataType.simpleString()}, size int, pos int, sig binary"
+    common = spark.sparkContext.broadcast(order)
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(order.sum() // 5_000_000))
+    kind = texts.schema["class_id"].dataType.simpleString()
 
     def postings(batches):
         for b in batches:
             value, of, size = gram_sets(strings(b.column("folded")), n)
             if not len(value):
                 continue
-            order = np.lexsort((value, common.value[_bucket(value)], of))
-            value = value[order]
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            pos = np.arange(len(value)) - starts[of]
+            bucket = _bucket(value)
+            often = common.value[bucket]
+            # the order: by count, then by bucket, then by value (the sort is stable)
+            rank = np.minimum(often, (1 << 24) - 1).astype(np.uint64) << np.uint64(ORDER_BITS) | bucket.astype(np.uint64)
+            by = np.argsort(of.astype(np.uint64) << np.uint64(44) | rank, kind="stable") if len(size) < 1 << 20 else np.lexsort((rank, of))
+            value, often = value[by], often[by]
+            pos = np.arange(len(value)) - np.concatenate([[0], np.cumsum(size)[:-1]])[of]
             sig = _signatures(value, of, len(size))
             keep = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[of]
-            which = of[keep]
-            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * WORDS), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-            yield pa.record_batch(
-                [pa.array(value[keep].astype(np.int64)), b.column("class_id").take(pa.array(which)), pa.array(size[which].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), rows.take(pa.array(which))],
-                names=["key", "id", "size", "pos", "sig"],
-            )
-
-    post = written(texts.select("class_id", "folded").mapInArrow(postings, posting))
-    heavy = post.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    cut = post.join(heavy, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a block meets every block once: tile (i, j), i <= j, gets the rows of both
-    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", "id", "size", "pos", "sig", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")
-    )
-    spread = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "size")
-    pairs = spread.mapInArrow(lambda batches: _tiles(batches, t), f"a {texts.schema['class_id'].dataType.simpleString()}, b {texts.schema['class_id'].dataType.simpleString()}")
+            yield from _sent(b.column("class_id"), sig, size, value[keep], of[keep], pos[keep], often[keep], block, groups)
+
+    sent = texts.select("class_id", "folded").mapInArrow(postings, f"grp int, id {kind}, blob binary")
+    pairs = sent.repartition(groups, "grp").mapInArrow(lambda batches: _tiles(batches, t), f"a {kind}, b {kind}").distinct()
     left = texts.select(F.col("class_id").alias("a"), F.col("folded").alias("fa"))
     right = texts.select(F.col("class_id").alias("b"), F.col("folded").alias("fb"))
 
@@ -100,8 +88,50 @@ def near_classes(texts: DataFrame, t: float = 0.7, n: int = 3, block: int = 4000
             ok = _similar(strings(b.column("fa")), strings(b.column("fb")), t, n)
             yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    kind = texts.schema["class_id"].dataType.simpleString()
-    return pairs.distinct().join(left, "a").join(right, "b").mapInArrow(exact, f"a {kind}, b {kind}")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(exact, f"a {kind}, b {kind}")
+
+
+def sequence_counts(folded: DataFrame, n: int = 3) -> np.ndarray:
+    """Occurrences of ``n``-character sequences by hash bucket, over all rows of the one-column frame."""
+
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        value, _, _ = gram_sets(strings(batch.column(0)), n)
+        return np.bincount(_bucket(value), minlength=1 << ORDER_BITS)[None]
+
+    return np.minimum(histogram(folded, count, ORDER_BITS)[0], (1 << 31) - 1).astype(np.int32)
+
+
+def _sent(ids, sig, size, value, of, pos, often, block, groups):
+    """One row for each text and group of tiles; frequent sequences have a tile for each two blocks of texts."""
+    parts = -(-often.astype(np.int64) // block)
+    parts[parts < 1] = 1
+    again = np.repeat(np.arange(len(value)), parts)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = (mixed_hash(sig[:, 0] ^ sig[:, 1], 5)[of[again]] >> np.uint64(11)).astype(np.int64) % parts[again]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int8)
+    tile = mixed_hash(value[again] ^ mixed_hash((low << 20 | high).astype(np.uint64), 3), 4)
+    group = (tile >> np.uint64(33)).astype(np.int64) % groups
+    text = of[again]
+    by = np.lexsort((group, text))
+    text, group = text[by], group[by]
+    body = np.empty(len(text), POSTING)
+    body["tile"], body["left"] = tile[by].astype(np.uint32), (size[text] - pos[again][by]) << 2 | side[by]
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (group[1:] != group[:-1])]))
+    who = text[new]
+    head = np.empty(len(new), HEAD)
+    head["size"], head["sig"] = size[who], sig[who]
+    # each row's bytes: its head, then its postings
+    bounds = np.concatenate([new, [len(text)]])
+    ends = np.cumsum(HEAD.itemsize + np.diff(bounds) * POSTING.itemsize)
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[(starts[:, None] + np.arange(HEAD.itemsize)).ravel()] = head.view(np.uint8)
+    free = np.ones(len(out), bool)
+    free[(starts[:, None] + np.arange(HEAD.itemsize)).ravel()] = False
+    out[free] = body.view(np.uint8)
+    blob = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(np.concatenate([starts, ends[-1:]]).astype(np.int32)), pa.py_buffer(out)])
+    yield pa.record_batch([pa.array(group[new].astype(np.int32)), ids.take(pa.array(who)), blob], names=["grp", "id", "blob"])
 
 
 def _signatures(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -112,55 +142,64 @@ def _signatures(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flat, bitorder="little").view(np.uint64).reshape(n, WORDS)
 
 
-def _tiles(batches, t: float):
-    """Candidate pairs of sorted tiles; a tile may span batches, at most one is held."""
-    held = None
-    for b in batches:
-        x = pa.table(b) if isinstance(b, dict) else pa.Table.from_batches([b])
-        held = x if held is None else pa.concat_tables([held, x])
-        k, i, j = (held[c].to_numpy() for c in ("key", "i", "j"))
-        if not len(k):
-            continue
-        last = (k == k[-1]) & (i == i[-1]) & (j == j[-1])
-        done = int(np.argmax(last))
-        if done:
-            yield from _pairs(held.slice(0, done), t)
-            held = held.slice(done)
-    if held is not None and held.num_rows:
-        yield from _pairs(held, t)
-
-
-def _pairs(x: pa.Table, t: float, at_once: int = 2_000_000):
-    x = x.combine_chunks()
-    k, i, j, mine, size, pos = (x[c].to_numpy() for c in ("key", "i", "j", "mine", "size", "pos"))
-    size, pos = size.astype(np.int64), pos.astype(np.int64)
-    sig = np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
+HEAD = np.dtype([("size", "<i4"), ("sig", "<u8", (WORDS,))])
+POSTING = np.dtype([("tile", "<u4"), ("left", "<i4")])
+
+
+def _opened(blobs: list[bytes]):
+    """Sizes and signatures of the rows, and text, tile, rest length and side of their postings."""
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    flat = np.frombuffer(b"".join(blobs), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    heads = (starts[:, None] + np.arange(HEAD.itemsize)).ravel()
+    head = flat[heads].view(HEAD)
+    free = np.ones(len(flat), bool)
+    free[heads] = False
+    body = flat[free].view(POSTING)
+    text = np.repeat(np.arange(len(blobs)), (lengths - HEAD.itemsize) // POSTING.itemsize)
+    return head["size"].astype(np.int32), np.ascontiguousarray(head["sig"]), text, body["tile"], body["left"] >> 2, (body["left"] & 3).astype(np.int8)
+
+
+def _tiles(batches, t: float, at_once: int = 2_000_000):
+    """Candidate pairs of all tiles of a task, each pair once."""
+    held = [pa.Table.from_batches([b]) for b in batches]
+    if not held or not sum(h.num_rows for h in held):
+        return
+    x = pa.concat_tables(held)
     ids = x["id"].combine_chunks()
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-    tile = np.cumsum(new) - 1
+    size, sig, text, tile, left, side = _opened(x["blob"].to_pylist())
+    del x, held
+    order = np.lexsort((size[text], tile))
+    text, tile, left, side = text[order].astype(np.int32), tile[order].astype(np.int64), left[order], side[order]
+    size = size[text]
+    need_of = least_overlap(np.arange(2 * int(size.max()) + 1), 0, t).astype(np.int32)
+    # the smaller of two alike sets shares one of still fewer of its rarest sequences
+    index = size - left < size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int32) + 1
     # rows of a tile are sorted by size: row r meets the rows after it up to size / t
-    reach = tile * (1 << 32) + np.floor(size / t + 1e-9).astype(np.int64)
-    end = np.searchsorted(tile * (1 << 32) + size, reach, side="right")
-    begin = np.arange(len(k)) + 1
-    number = np.maximum(end - begin, 0)
+    end = np.searchsorted(tile * (1 << 31) + size, tile * (1 << 31) + np.floor(size / t + 1e-9).astype(np.int64), side="right")
+    begin = np.arange(len(text)) + 1
+    number = np.where(index, np.maximum(end - begin, 0), 0)
     upto = np.cumsum(number)
-    at = 0
-    while at < len(k):
+    at, found = 0, []
+    while at < len(text):
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, side="right")))
         m = number[at:to]
-        r = np.repeat(np.arange(at, to), m)
-        s = np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m) + begin[r]
+        r = np.repeat(np.arange(at, to, dtype=np.int32), m)
+        s = np.arange(len(r), dtype=np.int32) - np.repeat((np.cumsum(m) - m - begin[at:to]).astype(np.int32), m)
         at = to
-        need = least_overlap(size[r], size[s], t)
-        ok = np.minimum(size[r] - pos[r], size[s] - pos[s]) >= need  # this sequence and what comes after it
-        ok &= (i[r] == j[r]) | (mine[r] != mine[s])
+        need = need_of[size[r] + size[s]]
+        ok = np.flatnonzero((left[r] >= need) & (left[s] >= need))
         r, s, need = r[ok], s[ok], need[ok]
-        ok = bitmap_bound(sig[r], sig[s], size[r], size[s]) >= need
-        r, s = r[ok], s[ok]
-        if len(r):
-            a, b = ids.take(pa.array(r)), ids.take(pa.array(s))
-            pair = pa.record_batch([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"])
-            yield pair.filter(pc.not_equal(a, b))
+        ok = (side[r] == 0) | (side[r] != side[s])
+        ok &= bitmap_bound(sig[text[r]], sig[text[s]], size[r], size[s]) >= need
+        a, b = text[r[ok]].astype(np.int64), text[s[ok]].astype(np.int64)
+        found.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+        if sum(map(len, found)) > 4 * at_once:
+            found = [np.unique(np.concatenate(found))]
+    pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    for k in range(0, len(pair), 100_000):
+        a, b = ids.take(pa.array(pair[k : k + 100_000] >> 32)), ids.take(pa.array(pair[k : k + 100_000] & ((1 << 32) - 1)))
+        yield pa.record_batch([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"]).filter(pc.not_equal(a, b))
 
 
 def _similar(left: list[str], right: list[str], t: float, n: int) -> np.ndarray:
@@ -184,24 +223,28 @@ def near_pairs(rows: DataFrame, id_col: str = "id", text_col: str = "question",
     in all pairs, a larger group only against its smallest id (``near_groups`` has every row's class). Texts that fold to
     fewer than ``n`` characters have no pair. Empty input gives no rows; other columns are ignored.
     """
-    members, texts = _classes(rows, id_col, text_col, n)
-    pairs = near_classes(texts, t, n)
-    m = members.where((F.col("copies") <= most_copies) | (F.col("id") == F.col("class_id"))).select("id", "class_id")
-    between = pairs.join(m.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    members, texts, order = _classes(rows, id_col, text_col, n)
+    pairs = written(near_classes(texts, order, t, n))
     repeated = members.where("copies > 1")
+    # only classes of several rows are joined: any other class is its own row
+    m = repeated.where((F.col("copies") <= most_copies) | (F.col("id") == F.col("class_id"))).select("class_id", "id")
+    between = pairs.join(m.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a", "left").join(m.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b", "left")
+    between = between.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     small = repeated.where(F.col("copies") <= most_copies)
     within = small.select("class_id", F.col("id").alias("x")).join(small.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y")
     star = repeated.where((F.col("copies") > most_copies) & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("id").alias("y"))
     return between.unionByName(within).unionByName(star).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def _classes(rows: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """Every row with class id and number of copies, and one row for each class with its text; both written."""
-    folded = written(classes(rows, id_col, text_col).where(F.length("folded") >= n).withColumn("h", F.xxhash64("folded")).withColumn("g", F.hash("folded")))
-    texts = folded.groupBy("h", "g").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.min("folded").alias("folded"))
-    texts = written(texts)
-    members = folded.select("id", "h", "g").join(texts.select("h", "g", "class_id", "copies"), ["h", "g"]).select("id", "class_id", "copies")
-    return members, texts.select("class_id", "folded")
+def _classes(rows: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Every row with class id and number of copies; one row for each class with its text; counts of all sequences."""
+    folded = written(classes(rows, id_col, text_col).where(F.length("folded") >= n))
+    order = sequence_counts(folded.select("folded"), n)
+    keyed = folded.select("id", F.xxhash64("folded").alias("h"), F.hash("folded").alias("g"))
+    counted = keyed.groupBy("h", "g").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    members = written(keyed.join(counted, ["h", "g"]).select("id", "class_id", "copies"))
+    texts = folded.join(members.where("id = class_id").select("id"), "id", "left_semi").select(F.col("id").alias("class_id"), "folded")
+    return members, texts, order
 
 
 def near_groups(rows: DataFrame, id_col: str = "id", text_col: str = "question", t: float = 0.7, n: int = 3) -> DataFrame:
@@ -209,8 +252,8 @@ def near_groups(rows: DataFrame, id_col: str = "id", text_col: str = "question",
 
     Rows whose text folds to fewer than ``n`` characters are their own class and have no links.
     """
-    members, texts = _classes(rows, id_col, text_col, n)
-    pairs = near_classes(texts, t, n)
+    members, texts, order = _classes(rows, id_col, text_col, n)
+    pairs = near_classes(texts, order, t, n)
     links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     full = rows.select(F.col(id_col).alias("id")).join(members, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return full.join(links, "class_id", "left").select("id", "class_id", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
