@@ -1,4 +1,610 @@
-"""All queries of the core, with their SQL."""
+"""All queries of the core over the test tables, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sedgewren.functions import text as T
+from sedgewren.operators import chunking, cleaning, dataset, dedup, dialog, metrics, models, retrieval
+from sedgewren.plans.cascade import cascade
+from sedgewren.session import table, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# white space as the native functions understand it, for the SQL side
+_S = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_STRIP = f"regexp_replace(%s, '^[{_S}]+|[{_S}]+$', '', 'g')"
+_COMPACT = f"regexp_replace(%s, '[{_S}]+', '', 'g')"
+_TOKENS = r"regexp_replace(lower(%s), '[^\p{L}\p{Nd}]+', '', 'g')"
+_BIGRAMS = "list_transform(range(1, greatest(length(%s) - 1, 1) + 1), lambda i: substr(%s, i, 2))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def strip_sql(x: str) -> str:
+    return _STRIP % x
+
+
+def normalize_sql(x: str) -> str:
+    x = rf"regexp_replace({x}, '\r\n?', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '[\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]', '', 'g')"
+    x = f"regexp_replace(translate({x}, chr(12288) || chr(9), '  '), ' {{2,}}', ' ', 'g')"
+    within = _S.replace(r"\t-\r ", r"\t\x{0B}-\r ")
+    x = f"regexp_replace({x}, '(?m)^[{within}]+|[{within}]+$', '', 'g')"
+    return strip_sql(rf"regexp_replace({x}, '\n{{2,}}', chr(10) || chr(10), 'g')")
+
+
+# --- text functions -------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT id, {normalize_sql('text_content')} AS text FROM law_chunk")
+def text_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_chunk").select("id", T.normalize_text(F.col("text_content")).alias("text"))
+
+
+_LINES = "SELECT id, unnest(range(0, len(string_split(text_content, chr(10))))) AS pos, unnest(string_split(text_content, chr(10))) AS line FROM law_chunk WHERE text_content IS NOT NULL"
+_NOISE = rf"""(s = '' OR regexp_matches(s, '(?i)^[{_S}=\-*_#.]*(page[{_S}]*\(?\p{{Nd}}+\)?|第[{_S}]*\p{{Nd}}+[{_S}]*页)[{_S}=\-*_#.]*$') OR regexp_matches(s, '^[①-⑳][{_S}]*$')
+  OR regexp_matches(s, '^中国法院[0-9]{{4}}年度案例') OR regexp_matches(s, '^\p{{Nd}}{{4}}[{_S}]*年[{_S}]*\p{{Nd}}{{1,2}}[{_S}]*月$') OR regexp_matches(s, '^目[{_S}]*录$') OR regexp_matches(s, '^图书在版编目'))"""
+
+
+@query(
+    f"""WITH l AS ({_LINES}), t AS (SELECT id, pos, {strip_sql('line')} AS s, line FROM l)
+SELECT id, CAST(pos AS INTEGER) AS pos, {_NOISE} AS block_noise, {_NOISE} OR regexp_matches(s, '^\\p{{Nd}}{{1,4}}$') AS noise, {_COMPACT % 'line'} AS compact FROM t"""
+)
+def text_noise_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = cleaning.document_lines(table(spark, d, "law_chunk"), "id", "text_content", normalize=False)
+    line = F.col("line")
+    return lines.select("id", "pos", T.is_block_noise_line(line).alias("block_noise"), T.is_noise_line(line).alias("noise"), T.compact_line(line).alias("compact"))
+
+
+@query(
+    f"""WITH l AS ({_LINES}), t AS (SELECT *, {_COMPACT % 'line'} AS key, regexp_matches({strip_sql('line')}, '^\\p{{Nd}}{{1,4}}$') AS n FROM l),
+x AS (SELECT *, n OR coalesce(lag(n) OVER w, false) OR coalesce(lead(n) OVER w, false) AS beside FROM t WINDOW w AS (PARTITION BY id ORDER BY pos))
+SELECT id, key FROM x WHERE length(key) BETWEEN 1 AND 30 AND NOT regexp_matches(key, '^\\p{{Nd}}') AND NOT regexp_matches(key, '[。，；：！？]')
+GROUP BY id, key HAVING count(*) >= 1 AND bool_or(beside)"""
+)
+def text_repeated_heads(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.repeated_head_lines(cleaning.document_lines(table(spark, d, "law_chunk"), "id", "text_content", normalize=False), min_repeat=1)
+
+
+@query(
+    f"""WITH n AS (SELECT id, {normalize_sql('text_content')} AS t FROM law_chunk WHERE text_content IS NOT NULL),
+l AS (SELECT id, unnest(range(0, len(string_split(t, chr(10))))) AS pos, unnest(string_split(t, chr(10))) AS line FROM n),
+t AS (SELECT *, {strip_sql('line')} AS s, {_COMPACT % 'line'} AS key, regexp_matches({strip_sql('line')}, '^\\p{{Nd}}{{1,4}}$') AS n FROM l),
+x AS (SELECT *, n OR coalesce(lag(n) OVER w, false) OR coalesce(lead(n) OVER w, false) AS beside FROM t WINDOW w AS (PARTITION BY id ORDER BY pos)),
+h AS (SELECT id, key FROM x WHERE length(key) BETWEEN 1 AND 30 AND NOT regexp_matches(key, '^\\p{{Nd}}') AND NOT regexp_matches(key, '[。，；：！？]') GROUP BY id, key HAVING count(*) >= 2 AND bool_or(beside)),
+k AS (SELECT id, string_agg(s, chr(10) ORDER BY pos) AS t FROM x WHERE (s = '' OR NOT ({_NOISE} OR n)) AND NOT EXISTS (SELECT 1 FROM h WHERE h.id = x.id AND h.key = x.key) GROUP BY id)
+SELECT n.id, coalesce({strip_sql("regexp_replace(k.t, '[\n]{2,}', chr(10) || chr(10), 'g')")}, '') AS text FROM n LEFT JOIN k ON n.id = k.id"""
+)
+def text_clean(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_text(table(spark, d, "law_chunk"), "id", "text_content", min_repeat=2)
+
+
+@query(
+    f"""WITH l AS ({_LINES}), t AS (SELECT id, pos, {strip_sql('line')} AS s FROM l)
+SELECT id, arg_min(s, pos) AS law_name FROM t WHERE pos < 30 AND regexp_matches(s, '^.{{2,40}}(法|条例|办法|规定|细则)$') GROUP BY id"""
+)
+def text_law_names(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.law_names(cleaning.document_lines(table(spark, d, "law_chunk"), "id", "text_content", normalize=False))
+
+
+@query(
+    f"""WITH l AS ({_LINES}), t AS (SELECT id, pos, {strip_sql('line')} AS s FROM l)
+SELECT id, CAST(pos AS INTEGER) AS pos, CASE WHEN length(s) <= 40 THEN regexp_extract(s, '^第[零〇一二三四五六七八九十百千两]+([编章节])([{_S}]*(.*))?$', 1) ELSE '' END AS level,
+       regexp_extract(s, '^(第[零〇一二三四五六七八九十百千两]+条)', 1) AS article_no FROM t"""
+)
+def text_headings(spark: SparkSession, d: str) -> DataFrame:
+    lines = cleaning.document_lines(table(spark, d, "law_chunk"), "id", "text_content", normalize=False)
+    return lines.select("id", "pos", T.heading_level(F.col("line")).alias("level"), F.regexp_extract(T.strip(F.col("line")), T.ARTICLE_START, 1).alias("article_no"))
+
+
+@query(f"SELECT row_id, {strip_sql('regexp_replace(' + strip_sql('text') + chr(44) + chr(39) + '[?？]+$' + chr(39) + chr(44) + chr(39) * 2 + ')')} AS text FROM raw")
+def text_classifier(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw").select("row_id", T.classifier_text(F.col("text")).alias("text"))
+
+
+@query("SELECT id, CASE WHEN length(answer) > 60 THEN left(answer, 60) || '…' ELSE answer END AS answer, CASE WHEN length(question) > 26 THEN left(question, 26) || '…' ELSE question END AS preview FROM law_qa")
+def text_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_qa").select("id", T.truncated(F.col("answer"), 60, "…").alias("answer"), T.truncated(F.col("question"), 26, "…").alias("preview"))
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_TOKENS % 'question'} AS q FROM law_qa), g AS (SELECT id, unnest({_BIGRAMS % ('q', 'q')}) AS g FROM t)
+SELECT g, count(*) AS n, count(DISTINCT id) AS docs FROM g WHERE g <> '' GROUP BY g"""
+)
+def text_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_qa").select("id", F.explode(T.tokens(F.col("question"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
+
+
+@query(
+    f"""WITH s AS (SELECT id, unnest(regexp_extract_all(answer, '[^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+$')) AS s FROM law_qa)
+SELECT id, count(*) AS n, max(length({strip_sql('s')})) AS longest FROM s WHERE length({strip_sql('s')}) >= 2 GROUP BY id"""
+)
+def text_sentences(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "law_qa").select("id", F.explode(T.sentences(F.col("answer"))).alias("s"))
+    return s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).alias("longest"))
+
+
+@query(
+    f"""SELECT id, unnest(list_filter(list_transform(string_split(text_content, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')) AS query FROM law_chunk"""
+)
+def text_split_queries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_chunk").select("id", F.explode(T.split_queries(F.col("text_content"))).alias("query"))
+
+
+@query("SELECT id, CAST(greatest(60, floor(length(question) * 1.2) + 15) AS INTEGER) AS most, length(answer) BETWEEN 80 AND 400 AS fits FROM law_qa")
+def text_rewrite_limits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_qa").select("id", T.rewrite_limit(F.col("question")).alias("most"), dataset.length_between(F.col("answer"), 80, 400).alias("fits"))
+
+
+@query(
+    """WITH p AS (SELECT id, left(text_content, 12) AS a, left(coalesce(title, ''), 12) AS b FROM law_cases), i AS (SELECT unnest(range(1, 13)) AS i), n AS (SELECT unnest(range(1, 13)) AS n)
+SELECT id, CAST(coalesce(max(CASE WHEN i + n - 1 <= length(a) AND contains(b, substr(a, i, n)) THEN n END), 0) AS INTEGER) AS lcs FROM p, i, n GROUP BY id"""
+)
+def text_common_substring(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_cases")
+    return c.select("id", T.longest_common_substring(F.left("text_content", F.lit(12)), F.left(F.coalesce("title", F.lit("")), F.lit(12))).alias("lcs"))
+
+
+@query(
+    """SELECT c.id AS chunk_id, v.id AS vector_id FROM law_chunk c JOIN law_clause v ON v.id = md5(c.id || '_' || coalesce(c.article_no, ''))"""
+)
+def text_vector_ids(spark: SparkSession, d: str) -> DataFrame:
+    c, v = table(spark, d, "law_chunk"), table(spark, d, "law_clause")
+    return c.select(F.col("id").alias("chunk_id"), T.vector_id(F.col("id"), F.col("article_no")).alias("vector_id")).join(v.select(F.col("id").alias("vector_id")), "vector_id").select("chunk_id", "vector_id")
+
+
+@query(
+    """WITH p AS (SELECT id, question, answer AS r FROM law_qa), s AS (SELECT id, question, regexp_replace(r, '^[\\t-\\r \\x{85}\\x{A0}\\x{3000}]+|[\\t-\\r \\x{85}\\x{A0}\\x{3000}]+$', '', 'g') AS s FROM p)
+SELECT id, CASE WHEN s IS NOT NULL AND s <> '' AND length(s) <= length(question) * 5 + 30 AND NOT contains(s, chr(10)) THEN s ELSE question END AS resolved FROM s"""
+)
+def text_resolved(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_qa").select("id", T.resolved_question(F.col("question"), F.col("answer")).alias("resolved"))
+
+
+@query("SELECT frame_id, CASE WHEN lower(trim(frame_type)) IN ('direct','hyde','subquery','recall') THEN lower(trim(frame_type)) ELSE 'direct' END AS route, frame_type FROM client_frame")
+def text_routes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "client_frame").select("frame_id", T.route_label(F.col("frame_type")).alias("route"), "frame_type")
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 'N/A' ELSE printf('%.4f', value / 100) END AS score, CASE WHEN value / 100 < 0.5 THEN 'low' WHEN value / 100 >= 0.7 THEN 'high' WHEN value IS NOT NULL THEN 'middle' END AS hint FROM events")
+def text_scores(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value") / 100
+    return table(spark, d, "events").select("event_id", T.score_text(v).alias("score"), T.score_hint(v).alias("hint"))
+
+
+@query(
+    """WITH c AS (SELECT id, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS i, coalesce(title, '') AS title, coalesce(source, '') AS source, coalesce(text_content, '') AS body, source AS s FROM law_clause)
+SELECT s AS source, string_agg('[' || i || '] ' || title || ' ' || source || chr(10) || body, chr(10) || chr(10) ORDER BY i) AS context FROM c GROUP BY s"""
+)
+def text_contexts(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("source").orderBy("id")
+    c = table(spark, d, "law_clause").select("source", (F.row_number().over(w) - 1).alias("i"), *[F.coalesce(x, F.lit("")).alias(n) for x, n in (("title", "t"), ("source", "s"), ("text_content", "b"))])
+    line = F.format_string("[%d] %s %s\n%s", "i", "t", "s", "b")
+    return c.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("l")).select("source", F.array_join("l.line", "\n\n").alias("context"))
+
+
+# --- deduplication and joins ----------------------------------------------------------------------------------------
+
+
+@query("SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY source, left(text_content, 255) ORDER BY id) AS r FROM law_chunk) WHERE r = 1")
+def dedup_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_wins(table(spark, d, "law_chunk"), [F.col("source"), F.left("text_content", F.lit(255))], [F.col("id")]).select("id", "source")
+
+
+@query("SELECT row_id, label FROM (SELECT row_id, label, text, row_number() OVER (PARTITION BY text ORDER BY row_id) AS r FROM raw WHERE text IS NOT NULL) WHERE r = 1")
+def dedup_raw(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.first_wins(table(spark, d, "raw").where("text IS NOT NULL"), [F.col("text")], [F.col("row_id")]).select("row_id", "label")
+
+
+@query(
+    """WITH o AS (SELECT * FROM law_qa WHERE source = '同澜问答'), n AS (SELECT id, question, row_number() OVER (PARTITION BY left(question, 255) ORDER BY id) AS r FROM law_qa WHERE source <> '同澜问答')
+SELECT id, question FROM n WHERE r = 1 AND left(question, 255) NOT IN (SELECT left(question, 255) FROM o)"""
+)
+def insert_ignore_qa(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "law_qa")
+    return dedup.insert_ignore(q.where("source = '同澜问答'"), q.where("source <> '同澜问答'"), F.left("question", F.lit(255)), [F.col("id")]).select("id", "question")
+
+
+@query(
+    """WITH e AS (SELECT frame_id, received_at, frame_type, row_number() OVER (PARTITION BY frame_id ORDER BY received_at DESC) AS r FROM client_frame) SELECT frame_id, received_at, frame_type FROM e WHERE r = 1"""
+)
+def upsert_frames(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "client_frame").select("frame_id", "received_at", "frame_type")
+    return dedup.upsert(f.limit(0), f, "frame_id", [F.desc("received_at")])
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT text FROM raw WHERE split = 'train' AND text IS NOT NULL) a JOIN (SELECT DISTINCT text FROM raw WHERE split <> 'train') b ON a.text = b.text")
+def split_overlap(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "raw").where("text IS NOT NULL")
+    return dedup.overlap_count(r.where("split = 'train'"), r.where("split <> 'train'"), "text")
+
+
+_PARENT = """SELECT source, case_no, string_agg(text_content, chr(10) ORDER BY id) AS parent FROM law_chunk
+WHERE doc_type = 'case' AND section IN ('基本案情', '法院裁判要旨', '法官后语') AND case_no <> '' GROUP BY source, case_no"""
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_chunk").where(F.col("doc_type") == "case").where(F.col("section").isin("基本案情", "法院裁判要旨", "法官后语") & (F.col("case_no") != ""))
+    parts = c.groupBy("source", "case_no").agg(F.array_sort(F.collect_list(F.struct("id", "text_content"))).alias("l"))
+    return parts.select("source", "case_no", F.array_join("l.text_content", "\n").alias("parent"))
+
+
+@query(_PARENT)
+def parent_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _parents(spark, d)
+
+
+@query(f"WITH p AS ({_PARENT}) SELECT c.id, coalesce(p.parent, '') AS parent FROM law_chunk c LEFT JOIN p ON c.source = p.source AND c.case_no = p.case_no WHERE c.doc_type = 'case' AND c.section IN ('案件焦点', '法院裁判要旨')")
+def parent_join(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_chunk").where((F.col("doc_type") == "case") & F.col("section").isin("案件焦点", "法院裁判要旨"))
+    return c.join(_parents(spark, d), ["source", "case_no"], "left").select("id", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+@query("SELECT id, law_name, article_no, array_to_string(path, '/') AS path FROM law_chunk WHERE doc_type = 'law' AND article_no <> ''")
+def scan_law_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_chunk").where("doc_type = 'law' AND article_no <> ''").select("id", "law_name", "article_no", F.array_join("path", "/").alias("path"))
+
+
+@query(
+    f"""WITH f AS (SELECT frame_id, {_COMPACT % 'text'} AS k FROM client_frame WHERE frame_type = 'question'), c AS (SELECT DISTINCT {_COMPACT % 'question'} AS k FROM law_qa)
+SELECT frame_id, k IN (SELECT k FROM c) AS hit FROM f WHERE k IS NOT NULL"""
+)
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "client_frame").where("frame_type = 'question' AND text IS NOT NULL").select("frame_id", T.compact_line(F.col("text")).alias("k"))
+    c = table(spark, d, "law_qa").where("question IS NOT NULL").select(T.compact_line(F.col("question")).alias("k")).distinct().withColumn("hit", F.lit(True))
+    return f.join(c, "k", "left").select("frame_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+# --- retrieval ------------------------------------------------------------------------------------------------------
+
+_BM25 = f"""WITH t AS (SELECT id, {_TOKENS % 'question'} AS q FROM law_qa WHERE question IS NOT NULL),
+g AS (SELECT id, list_filter({_BIGRAMS % ('q', 'q')}, lambda x: x <> '') AS g FROM t), l AS (SELECT id, len(g) AS dl, unnest(g) AS term FROM g),
+p AS (SELECT id AS doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM l GROUP BY id, term),
+h AS (SELECT count(*) AS n, avg(len(g)) AS avgdl FROM g), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM df, h), s AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+a AS (SELECT id AS query_id, term, count(*) AS qf FROM l WHERE id % 50 = 0 GROUP BY id, term),
+x AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qf) AS score FROM p JOIN s USING (term) JOIN a USING (term), h GROUP BY query_id, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x)
+"""
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "law_qa")
+    return retrieval.bm25_scores(q.where("id % 50 = 0"), q, "id", "question", "id", "question")
+
+
+@query(_BM25 + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM k WHERE rank <= 5")
+def bm25_top5(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.top_k(_bm25(spark, d), 5).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query(
+    _BM25 + """, t2 AS (SELECT query_id, max(score) AS top1, coalesce(max(CASE WHEN rank = 2 THEN score END), 0) AS top2, arg_min(doc_id, rank) AS doc_id FROM k WHERE rank <= 2 GROUP BY query_id)
+SELECT query_id, doc_id, round(top1, 4) AS top1, round(top2, 4) AS top2 FROM t2 WHERE top1 >= 22 AND top1 - top2 >= 5"""
+)
+def bm25_gate(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.gated_top1(_bm25(spark, d)).select("query_id", "doc_id", F.round("top1", 4).alias("top1"), F.round("top2", 4).alias("top2"))
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_TOKENS % 'question'} AS q FROM law_qa WHERE question IS NOT NULL), g AS (SELECT id, unnest({_BIGRAMS % ('q', 'q')}) AS term FROM t), p AS (SELECT DISTINCT id, term FROM g WHERE term <> ''),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term), r AS (SELECT term, df, ln(((SELECT count(*) FROM t) - df + 0.5) / (df + 0.5)) AS raw FROM df)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r"""
+)
+def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "law_qa").where("question IS NOT NULL")
+    return retrieval.term_statistics(retrieval.postings(q, "id", "question"), q.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+_DENSE = """WITH x AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x)
+"""
+
+
+@query(_DENSE + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM k WHERE rank <= 5")
+def dense_top5(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    s = retrieval.dense_scores(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "vec_id", "embedding")
+    return retrieval.top_k(s, 5).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+# string ids are chosen by their first digits read as a number
+_PICK = "('0x' || left(id, 8))::BIGINT % 50 = 0"
+_PICKED = "conv(left(id, 8), 16, 10) % 50 = 0"
+_SPARSE = f"""WITH m AS (SELECT id, unnest(map_keys(sparse_vector)) AS term, unnest(map_values(sparse_vector))::DOUBLE AS w FROM law_cases WHERE sparse_vector IS NOT NULL),
+s AS (SELECT a.id AS query_id, b.id AS doc_id, sum(a.w * b.w) AS score FROM m a JOIN m b USING (term) WHERE {_PICK.replace('id', 'a.id')} GROUP BY a.id, b.id)
+"""
+
+
+def _sparse(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_cases")
+    return retrieval.sparse_scores(c.where(_PICKED), c, "id", "sparse_vector", "id", "sparse_vector")
+
+
+@query(_SPARSE + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM k WHERE rank <= 5")
+def sparse_top5(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.top_k(_sparse(spark, d), 5).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+_USABLE = "dense_vector IS NOT NULL AND list_sum(list_transform(dense_vector, lambda x: x * x)) > 0"
+_FUSED = (
+    _SPARSE
+    + f""", d AS (SELECT q.id AS query_id, e.id AS doc_id, list_cosine_similarity(q.dense_vector::DOUBLE[], e.dense_vector::DOUBLE[]) AS score
+  FROM (SELECT * FROM law_cases WHERE {_USABLE} AND {_PICK}) q, (SELECT * FROM law_cases WHERE {_USABLE}) e),
+dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM d) WHERE r <= 5),
+sk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5),
+f AS (SELECT coalesce(dk.query_id, sk.query_id) AS query_id, coalesce(dk.doc_id, sk.doc_id) AS doc_id, 1.0 * coalesce(dk.score, 0) + 0.7 * coalesce(sk.score, 0) AS score FROM dk FULL JOIN sk ON dk.query_id = sk.query_id AND dk.doc_id = sk.doc_id),
+fk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5)
+"""
+)
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_cases")
+    dense = retrieval.dense_scores(c.where(_PICKED), c, "id", "dense_vector", "id", "dense_vector")
+    return retrieval.fused(retrieval.top_k(dense, 5), retrieval.top_k(_sparse(spark, d), 5), 5)
+
+
+@query(_FUSED + "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM fk")
+def hybrid_top5(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(
+    _FUSED + """, h AS (SELECT f.query_id, f.doc_id, f.rank, c.text_content, row_number() OVER (PARTITION BY f.query_id, coalesce(c.text_content, '') ORDER BY f.rank, f.doc_id) AS u FROM fk f JOIN law_cases c ON c.id = f.doc_id),
+n AS (SELECT query_id, doc_id, rank, length(text_content) AS chars, count(*) OVER (PARTITION BY query_id) AS n FROM h WHERE u = 1),
+r AS (SELECT query_id, doc_id, CASE WHEN n > 3 THEN chars / 1000.0 END AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 3 THEN chars END DESC NULLS LAST, rank, doc_id) AS final_rank FROM n)
+SELECT query_id, doc_id, CAST(final_rank AS INTEGER) AS final_rank, CAST(rerank_score AS DOUBLE) AS rerank_score FROM r WHERE final_rank <= 3"""
+)
+def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "law_cases").select(F.col("id").alias("doc_id"), F.coalesce("text_content", F.lit("")).alias("content"))
+    hits = _hybrid(spark, d).join(c, "doc_id").withColumn("query_no", F.lit(0))
+    hits = retrieval.content_dedup(hits.withColumnRenamed("query_id", "plan_id"))
+    return retrieval.reranked(hits, F.length("content") / F.lit(1000.0), 3).select(F.col("plan_id").alias("query_id"), "doc_id", "final_rank", "rerank_score")
+
+
+@query(
+    """WITH c AS (SELECT 'case' AS kind, id AS doc_id, source, parent_content AS body FROM law_cases UNION ALL SELECT 'clause', id, source, text_content FROM law_clause),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE kind WHEN 'case' THEN 0 ELSE 1 END, doc_id) AS n FROM c WHERE body IS NOT NULL AND NOT regexp_matches(body, '^[\\t-\\r \\x{85}\\x{A0}\\x{3000}]*$'))
+SELECT source AS query_id, kind, doc_id, CAST(n AS INTEGER) AS n FROM k WHERE n <= 12"""
+)
+def context_cap(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "law_cases").select(F.lit("case").alias("kind"), F.col("id").alias("doc_id"), F.col("source").alias("query_id"), F.col("parent_content").alias("body"))
+    b = table(spark, d, "law_clause").select(F.lit("clause").alias("kind"), F.col("id").alias("doc_id"), F.col("source").alias("query_id"), F.col("text_content").alias("body"))
+    return retrieval.capped_contexts(a.unionByName(b).withColumn("rank", F.lit(1))).select("query_id", "kind", "doc_id", "n")
+
+
+# --- conversations --------------------------------------------------------------------------------------------------
+
+_MESSAGES = """WITH f AS (SELECT frame_id, any_value(session_id) AS session_id, any_value(text) AS content, min(ts) AS ts FROM client_frame WHERE frame_type = 'question' AND text IS NOT NULL GROUP BY frame_id),
+m AS (SELECT session_id, content, CASE WHEN row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS pos FROM f)
+"""
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """A session's question frames as messages of alternating roles."""
+    f = table(spark, d, "client_frame").where("frame_type = 'question' AND text IS NOT NULL")
+    f = f.groupBy("frame_id").agg(F.first("session_id").alias("session_id"), F.first("text").alias("content"), F.min("ts").alias("ts"))
+    pos = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "frame_id"))
+    return f.withColumn("pos", pos).withColumn("role", F.when(F.col("pos") % 2 == 1, "user").otherwise("assistant")).select("session_id", "pos", "role", "content")
+
+
+@query(
+    _MESSAGES + """, k AS (SELECT * FROM m WHERE regexp_replace(content, '[\\t-\\r \\x{85}\\x{A0}\\x{3000}]+', '', 'g') <> ''), t AS (SELECT *, coalesce(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM k),
+s AS (SELECT session_id, turn, sum(length(content)) AS chars FROM t GROUP BY ALL), a AS (SELECT *, row_number() OVER w AS age, sum(chars) OVER w AS upto FROM s WINDOW w AS (PARTITION BY session_id ORDER BY turn DESC))
+SELECT t.session_id, CAST(t.pos AS INTEGER) AS pos, CAST(t.turn AS BIGINT) AS turn, t.role FROM t JOIN a ON t.session_id = a.session_id AND t.turn = a.turn WHERE age <= 4 AND (age = 1 OR upto <= 1500)"""
+)
+def history_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    return dialog.trimmed_history(_messages(spark, d)).select("session_id", "pos", "turn", "role")
+
+
+@query(
+    _MESSAGES + """, n AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM m), k AS (SELECT session_id, string_agg(CASE role WHEN 'user' THEN '用户：' ELSE '助手：' END || CASE WHEN length(trim(content)) > 12 THEN left(trim(content), 12) || '…' ELSE trim(content) END, chr(10) ORDER BY pos) AS history FROM n WHERE pos > n - 40 GROUP BY session_id)
+SELECT session_id, history FROM k"""
+)
+def history_formatted(spark: SparkSession, d: str) -> DataFrame:
+    m = _messages(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("h"))
+    return m.select("session_id", dialog.history_text(dialog.last_messages(F.col("h")), 12).alias("history"))
+
+
+@query(
+    """WITH f AS (SELECT session_id, received_at AS ts, lag(received_at) OVER (PARTITION BY session_id ORDER BY received_at, frame_id) AS prev FROM client_frame)
+SELECT session_id, count(*) AS frames, count(*) FILTER (prev IS NOT NULL AND epoch(ts) - epoch(prev) > 120) AS closings, count(*) FILTER (prev IS NOT NULL AND epoch(ts) - epoch(prev) > 1800) AS expiries FROM f GROUP BY session_id"""
+)
+def session_liveness(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("session_id").orderBy("received_at", "frame_id")
+    t = F.col("received_at").cast("timestamp").cast("double")
+    f = table(spark, d, "client_frame").select("session_id", (t - F.lag(t).over(w)).alias("gap"))
+    return f.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("gap") > 120).alias("closings"), F.count_if(F.col("gap") > 1800).alias("expiries"))
+
+
+@query(
+    """WITH f AS (SELECT frame_id, text AS k, received_at AS t FROM client_frame WHERE frame_type = 'question' AND text IS NOT NULL),
+x AS (SELECT frame_id, t, lag(t) OVER (PARTITION BY k ORDER BY t, frame_id) AS b FROM f)
+SELECT frame_id, t AS received_at, coalesce(epoch(t) - epoch(b) < 3600, false) AS fresh FROM x"""
+)
+def cache_freshness(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("text").orderBy("received_at", "frame_id")
+    t = F.col("received_at").cast("timestamp").cast("double")
+    f = table(spark, d, "client_frame").where("frame_type = 'question' AND text IS NOT NULL")
+    return f.select("frame_id", "received_at", F.coalesce(t - F.lag(t).over(w) < 3600, F.lit(False)).alias("fresh"))
+
+
+# --- data sets and metrics ------------------------------------------------------------------------------------------
+
+SCENES = ["租", "借", "押金", "合伙", "离婚"]
+PROCEDURES = ["仲裁委员会", "起诉还是先去调解"]
+_HAS = lambda words, c="question": "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+@query(
+    f"""SELECT id, CASE WHEN {_HAS(PROCEDURES)} THEN 'procedure' WHEN NOT {_HAS(SCENES)} THEN 'scene' ELSE '' END AS reason,
+regexp_matches(question || chr(10) || coalesce(answer, ''), '1[3-9][0-9]{{9}}|[0-9]{{17}}[0-9Xx]|[\\x{{4E00}}-\\x{{9FA5}}]{{2,4}}(先生|女士|同志)') AS personal FROM law_qa WHERE length(answer) >= 80 AND length(question) BETWEEN 6 AND 80"""
+)
+def question_filters(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "law_qa").where(dataset.length_between(F.col("answer"), 80) & dataset.length_between(F.col("question"), 6, 80))
+    return q.select("id", dataset.scene_filter(F.col("question"), SCENES, PROCEDURES).alias("reason"), dataset.has_personal_data(F.col("question"), F.coalesce("answer", F.lit(""))).alias("personal"))
+
+
+_SUM = lambda words: " + ".join(f"CAST(contains(question, '{w}') AS INTEGER)" for w in words)
+
+
+@query(f"SELECT id, CASE WHEN {_SUM(['我', '怎么', '吗'])} > {_SUM(SCENES)} THEN 'everyday' ELSE 'professional' END AS scene FROM law_qa")
+def question_scenes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_qa").select("id", dataset.scene_of(F.col("question"), ["我", "怎么", "吗"], SCENES).alias("scene"))
+
+
+@query("SELECT id FROM law_qa ORDER BY md5('42_' || id), id LIMIT 20")
+def question_sample(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.hash_sample(table(spark, d, "law_qa"), "id", 20, 42).select("id")
+
+
+_GREET = " OR ".join(f"contains(text, '{g}')" for g in dataset.GREETINGS)
+_SPLIT = f"""WITH u AS (SELECT row_id, label, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY row_id) AS r FROM raw WHERE text IS NOT NULL AND text <> '' AND label IN (0, 1)) WHERE r = 1),
+f AS (SELECT *, label || '_' || CASE WHEN length(text) <= 6 THEN 'xs' WHEN length(text) <= 15 THEN 's' WHEN length(text) > 40 THEN 'l' ELSE 'm' END || '_' || CASE WHEN {_GREET} THEN 'G' ELSE 'g' END || '_' || CASE WHEN contains(left(text, 10), '我') THEN 'P' ELSE 'p' END AS k0 FROM u),
+p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k0) < 10 THEN 'pool_' || label ELSE k0 END AS k FROM f),
+r AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY md5('42_' || text), text) AS r FROM p),
+t AS (SELECT *, greatest(1, CAST(round_even(n * 0.1, 0) AS INTEGER)) AS t FROM r),
+s AS (SELECT row_id, label, text, k AS stratum, CASE WHEN r > n - t THEN 'test' WHEN r > n - 2 * t THEN 'dev' ELSE 'train' END AS part FROM t)
+"""
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "raw").where("text IS NOT NULL AND text <> '' AND label IN (0, 1)")
+    return dataset.stratified_split(dedup.first_wins(r, [F.col("text")], [F.col("row_id")]))
+
+
+@query(_SPLIT + "SELECT row_id, stratum, part FROM s")
+def split_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).select("row_id", "stratum", "part")
+
+
+@query(
+    _SPLIT + """SELECT part, count(*) AS n, count(*) FILTER (label = 1) AS legal, count(*) FILTER (label = 0) AS daily, count(*) FILTER (length(text) <= 6) AS very_short, round(count(*) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY part"""
+)
+def split_statistics(spark: SparkSession, d: str) -> DataFrame:
+    s = _split(spark, d)
+    g = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("legal"), F.count_if(F.col("label") == 0).alias("daily"), F.count_if(F.length("text") <= 6).alias("very_short"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+
+
+@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n, round(count(*) / (SELECT count(*) FROM law_qa), 6) AS share FROM law_qa GROUP BY 1")
+def source_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.distribution(table(spark, d, "law_qa"), "source")
+
+
+@query(
+    """SELECT * FROM (SELECT 'value' AS metric, round_even(avg(value), 4) AS mean, count(value) AS n FROM events UNION ALL SELECT 'big', round_even(avg(CASE WHEN value > 10 THEN value END), 4), count(CASE WHEN value > 10 THEN value END) FROM events)"""
+)
+def metric_summary(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("value", F.when(F.col("value") > 10, F.col("value")).alias("big"))
+    return metrics.metric_summary(e, ["value", "big"])
+
+
+@query("SELECT coalesce(event_type, 'unknown') AS event_type, count(*) AS n, round_even(avg(round_even(value, 4)), 4) AS value FROM events GROUP BY 1")
+def metric_groups(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.group_means(table(spark, d, "events"), "event_type", ["value"])
+
+
+_LEGAL = ["起诉", "仲裁", "赔", "权", "合同", "欠", "押金", "离婚", "借", "侵", "补偿", "被骗", "抵债"]
+_CELLS = f"""WITH g AS (SELECT label AS y, CAST({_HAS(_LEGAL, 'text')} AS INTEGER) AS p FROM raw WHERE label IN (0, 1) AND text IS NOT NULL),
+c AS (SELECT count(*) FILTER (y = 0 AND p = 0) AS c00, count(*) FILTER (y = 0 AND p = 1) AS c01, count(*) FILTER (y = 1 AND p = 0) AS c10, count(*) FILTER (y = 1 AND p = 1) AS c11 FROM g),
+m AS (SELECT 0 AS label, coalesce(c00 / nullif(c00 + c10, 0), 0) AS precision, coalesce(c00 / nullif(c00 + c01, 0), 0) AS recall, c00 + c01 AS support, (c00 + c11) / (c00 + c01 + c10 + c11) AS accuracy FROM c
+UNION ALL SELECT 1, coalesce(c11 / nullif(c01 + c11, 0), 0), coalesce(c11 / nullif(c10 + c11, 0), 0), c10 + c11, (c00 + c11) / (c00 + c01 + c10 + c11) FROM c),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM m)
+"""
+
+
+@query(_CELLS + "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, round(accuracy, 6) AS accuracy, round((SELECT avg(f1) FROM f), 6) AS macro_f1 FROM f")
+def classifier_report(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "raw").where("label IN (0, 1) AND text IS NOT NULL").withColumn("guess", models.keyword_classifier(_LEGAL)(F.col("text")))
+    return metrics.classification_report(r, "label", "guess")
+
+
+@query(
+    _DENSE + """, v AS (SELECT k.query_id, k.rank, CAST(a.label = b.label AS INTEGER) AS hit FROM k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.doc_id WHERE rank <= 6 AND query_id <> doc_id),
+p AS (SELECT *, sum(hit) OVER w / count(*) OVER w AS p FROM v WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, round(coalesce(sum(p * hit) / nullif(sum(hit), 0), 0), 6) AS context_precision, round(avg(hit), 6) AS hit_rate FROM p GROUP BY query_id"""
+)
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    top = retrieval.top_k(retrieval.dense_scores(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "vec_id", "embedding"), 6).where("query_id <> doc_id")
+    label = e.select("vec_id", "label")
+    v = top.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(label.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "doc_id")
+    return metrics.verdict_metrics(v.withColumn("relevant", F.col("a") == F.col("b")))
+
+
+# --- not expressible in SQL -----------------------------------------------------------------------------------------
+
+
+def _documents(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A source's chunks put together again into one document."""
+    c = table(spark, d, "law_chunk").where(F.col("doc_type") == kind)
+    return c.groupBy("source", "doc_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text_content"))), lambda x: x["text_content"]), "\n").alias("text"))
+
+
+@query()
+def chunk_laws(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(_documents(spark, d, "law")).drop("extra")
+
+
+@query()
+def chunk_cases(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(_documents(spark, d, "case")).drop("extra")
+
+
+@query()
+def chunk_merged(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(_documents(spark, d, "law").withColumn("doc_type", F.lit("law_merged"))).drop("extra")
+
+
+@query()
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("semantic").alias("doc_type"), "text")
+    return chunking.chunk_documents(docs).drop("extra")
+
+
+@query()
+def query_plans(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "law_qa").select("id", models.clause_rewriter()(F.col("question")).alias("p"))
+    return q.select("id", "p.route", F.posexplode(T.split_queries(F.col("p.retrieval_queries"))).alias("query_no", "query"))
+
+
+@query()
+def cascade_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cascade over the client's distinct questions: cache, classifier, gated BM25, then the best overlap."""
+    f = table(spark, d, "client_frame").where("frame_type = 'question' AND text IS NOT NULL")
+    asked = written(f.groupBy("text").agg(F.min("frame_id").alias("question_id")).select("question_id", F.col("text").alias("question")))
+    qa = table(spark, d, "law_qa").where("question IS NOT NULL AND answer IS NOT NULL")
+    known = dedup.first_wins(qa.withColumn("k", T.compact_line(F.col("question"))), [F.col("k")], [F.col("id")]).select("k", "answer")
+
+    def cache(q: DataFrame) -> DataFrame:
+        return q.withColumn("k", T.compact_line(F.col("question"))).join(known, "k")
+
+    def general(q: DataFrame) -> DataFrame:
+        return q.where(models.keyword_classifier([*_LEGAL, *SCENES])(F.col("question")) == 0).withColumn("answer", F.lit("（闲聊）"))
+
+    def bm25(q: DataFrame) -> DataFrame:
+        hits = retrieval.gated_top1(retrieval.bm25_scores(q, qa, "question_id", "question", "id", "question"))
+        return hits.withColumnRenamed("query_id", "question_id").join(qa.select(F.col("id").alias("doc_id"), "answer"), "doc_id")
+
+    def hybrid(q: DataFrame) -> DataFrame:
+        cases = table(spark, d, "law_clause").where("text_content IS NOT NULL")
+        top = retrieval.top_k(retrieval.bm25_scores(q, cases, "question_id", "question", "id", "text_content"), 3)
+        best = retrieval.top_k(top.join(cases.select(F.col("id").alias("doc_id"), "text_content"), "doc_id").join(q.select(F.col("question_id").alias("query_id"), "question"), "query_id").withColumn("score", models.overlap_score()(F.col("question"), F.col("text_content"))), 1)
+        return best.select(F.col("query_id").alias("question_id"), F.col("text_content").alias("answer"))
+
+    return cascade(asked, [("cache", cache), ("general", general), ("bm25", bm25), ("hybrid", hybrid)])
