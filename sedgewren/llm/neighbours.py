@@ -181,9 +181,9 @@ def nearest(
     id_col: str = "id",
     vector_col: str = "dense_vector",
     dim: int = 64,
-    m: int = 12,
-    confidence: float = 0.5,
-    cell_rows: int = 16384,
+    m: int = 16,
+    confidence: float = 0.1,
+    cell_rows: int = 32768,
     sample_rows: int = 20000,
     seed: int = 7,
 ) -> DataFrame:
@@ -205,26 +205,28 @@ def nearest(
             blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
             yield pa.record_batch([b.column(0).take(pa.array(at)), blob], names=["id", "v"])
 
-    vectors = rows.select(id_col, vector_col).mapInArrow(usable, f"id {kind}, v binary").withColumn("h", F.xxhash64("v"))
+    vectors = rows.select(id_col, vector_col).mapInArrow(usable, f"id {kind}, v binary")
     # classes of equal vectors: the k + 1 smallest ids stand for all members
     position = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    member = written(vectors.withColumn("place", position))
-    reps = member.where("place = 1").select("h", "id", "v")
-    count = reps.count()
+    member = written(vectors.select("id", F.xxhash64("v").alias("h")).withColumn("place", position))
+    count = member.count()
     if count == 0:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
     depth = max(0, int(np.ceil(np.log2(count / cell_rows))))
     share = min(1.0, sample_rows / count)
-    picked = reps.where(F.pmod("h", F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * sample_rows).toArrow() if depth else None
+    picked = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * sample_rows).toArrow() if depth else None
     cells = Cells(_floats(picked["v"], dim) @ project if picked is not None else np.zeros((0, m), np.float32), depth)
     shared = spark.sparkContext.broadcast((project, cells))
 
     def route(batches):
         proj, c = shared.value
         for b in batches:
-            yield pa.record_batch([b.column("h"), b.column("v"), pa.array(c.of(_floats(b.column("v"), dim) @ proj).astype(np.int32))], names=["h", "v", "cell"])
+            h, first = np.unique(b.column("h").to_numpy(), return_index=True)  # copies are sent once
+            v = b.column("v").take(pa.array(first))
+            yield pa.record_batch([pa.array(c.of(_floats(v, dim) @ proj).astype(np.int32)), pa.array(h), v], names=["cell", "h", "v"])
 
-    placed = written(reps.select("h", "v").mapInArrow(route, "h long, v binary, cell int").repartition(max(1, 1 << depth), "cell"))
+    routed = vectors.select(F.xxhash64("v").alias("h"), "v").mapInArrow(route, "cell int, h long, v binary").repartition(max(1, 1 << depth), "cell")
+    placed = written(routed.groupBy("cell", "h").agg(F.first("v").alias("v")))
     hit = "h long, other long, s float"
 
     def home(t: pa.Table) -> pa.Table:
@@ -270,8 +272,9 @@ def nearest(
     hits = first.where("cell < 0").select("h", "other", "s")
     if depth:
         # no task gets more than a bounded part of a cell's queries
-        asked = first.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(4)).cast("int"))
-        data = placed.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(4)])))
+        parts = -(-count // (4 * cell_rows))
+        asked = first.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+        data = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         hits = hits.unionByName(data.select("cell", "part", "h", "v").groupBy("cell", "part").cogroup(asked.select("cell", "part", "h", "v", "s").groupBy("cell", "part")).applyInArrow(visit, hit))
     by_class = Window.partitionBy("h").orderBy(F.desc("s"), "other")
     best = hits.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).select("h", "other", "s")
@@ -279,7 +282,7 @@ def nearest(
     around = best.join(few.select(F.col("h").alias("other"), F.col("id").alias("n")), "other").select("h", "n", F.col("s").cast("double").alias("s"))
     same = few.join(member.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "h").select("h", F.col("id").alias("n"), F.lit(1.0).alias("s"))
     lists = around.unionByName(same).withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("s"), "n"))).where(F.col("r") <= 2 * k + 1)
-    ranked = member.select("h", "id").join(lists, "h").where("id <> n").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "n")))
+    ranked = member.select("h", "id").join(lists, "h").where("id <> n").withColumn("rank", F.row_number().over(Window.partitionBy("h", "id").orderBy(F.desc("s"), "n")))
     return ranked.where(F.col("rank") <= k).select("id", F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
 
 
