@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, memory: str = "12g", partitions: int = 8, name: str = "sedgewren") -> SparkSession:
@@ -37,10 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast only if it is counted to have at most ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
