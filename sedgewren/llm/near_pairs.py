@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.common import fold, gram_sets, histogram, mixed_hash, strings
-from sedgewren.session import written
+from sedgewren.session import small, written
 
 ORDER_BITS = 20
-WORDS = 2
+WORDS = 3
 
 
 def _bucket(value: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def near_classes(texts: DataFrame, order: np.ndarray, t: float = 0.7, n: int = 3
     """
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(order)
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(order.sum() // 5_000_000))
+    groups = max(8, int(order.sum() // 2_500_000))
     kind = texts.schema["class_id"].dataType.simpleString()
 
     def postings(batches):
@@ -76,12 +76,15 @@ def near_classes(texts: DataFrame, order: np.ndarray, t: float = 0.7, n: int = 3
             pos = np.arange(len(value)) - np.concatenate([[0], np.cumsum(size)[:-1]])[of]
             sig = _signatures(value, of, len(size))
             keep = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[of]
-            yield from _sent(b.column("class_id"), sig, size, value[keep], of[keep], pos[keep], often[keep], block, groups)
+            yield from _sent(b.column("class_id"), sig, size, value[keep], of[keep], pos[keep], often[keep], block, groups, t)
 
     sent = texts.select("class_id", "folded").mapInArrow(postings, f"grp int, id {kind}, blob binary")
     pairs = sent.repartition(groups, "grp").mapInArrow(lambda batches: _tiles(batches, t), f"a {kind}, b {kind}").distinct()
-    left = texts.select(F.col("class_id").alias("a"), F.col("folded").alias("fa"))
-    right = texts.select(F.col("class_id").alias("b"), F.col("folded").alias("fb"))
+    pairs = written(pairs)
+    # only texts of candidate pairs are sent to be compared
+    wanted = texts.join(small(pairs.select(F.explode(F.array("a", "b")).alias("class_id"))), "class_id", "left_semi")
+    left = wanted.select(F.col("class_id").alias("a"), F.col("folded").alias("fa"))
+    right = wanted.select(F.col("class_id").alias("b"), F.col("folded").alias("fb"))
 
     def exact(batches):
         for b in batches:
@@ -101,7 +104,7 @@ def sequence_counts(folded: DataFrame, n: int = 3) -> np.ndarray:
     return np.minimum(histogram(folded, count, ORDER_BITS)[0], (1 << 31) - 1).astype(np.int32)
 
 
-def _sent(ids, sig, size, value, of, pos, often, block, groups):
+def _sent(ids, sig, size, value, of, pos, often, block, groups, t):
     """One row for each text and group of tiles; frequent sequences have a tile for each two blocks of texts."""
     parts = -(-often.astype(np.int64) // block)
     parts[parts < 1] = 1
@@ -116,7 +119,11 @@ def _sent(ids, sig, size, value, of, pos, often, block, groups):
     by = np.lexsort((group, text))
     text, group = text[by], group[by]
     body = np.empty(len(text), POSTING)
-    body["tile"], body["left"] = tile[by].astype(np.uint32), (size[text] - pos[again][by]) << 2 | side[by]
+    place, whole = pos[again][by], size[text]
+    # the smaller of two alike sets shares one of still fewer of its rarest sequences
+    first = place < whole - np.ceil(2 * t / (1 + t) * whole - 1e-9).astype(np.int64) + 1
+    body["tile"] = tile[by].astype(np.uint32)
+    body["rest"] = np.minimum(whole - place, MOST) << 3 | first << 2 | side[by]
     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (group[1:] != group[:-1])]))
     who = text[new]
     head = np.empty(len(new), HEAD)
@@ -143,11 +150,13 @@ def _signatures(value: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 
 HEAD = np.dtype([("size", "<i4"), ("sig", "<u8", (WORDS,))])
-POSTING = np.dtype([("tile", "<u4"), ("left", "<i4")])
+POSTING = np.dtype([("tile", "<u4"), ("rest", "<u2")])
+#: A rest length of this many or more is not used as a bound.
+MOST = (1 << 13) - 1
 
 
 def _opened(blobs: list[bytes]):
-    """Sizes and signatures of the rows, and text, tile, rest length and side of their postings."""
+    """Sizes and signatures of the rows, and text, tile, rest length, side and index mark of their postings."""
     lengths = np.fromiter(map(len, blobs), np.int64, len(blobs))
     flat = np.frombuffer(b"".join(blobs), np.uint8)
     starts = np.cumsum(lengths) - lengths
@@ -157,7 +166,9 @@ def _opened(blobs: list[bytes]):
     free[heads] = False
     body = flat[free].view(POSTING)
     text = np.repeat(np.arange(len(blobs)), (lengths - HEAD.itemsize) // POSTING.itemsize)
-    return head["size"].astype(np.int32), np.ascontiguousarray(head["sig"]), text, body["tile"], body["left"] >> 2, (body["left"] & 3).astype(np.int8)
+    rest = (body["rest"] >> 3).astype(np.int32)
+    rest[rest == MOST] = np.iinfo(np.int32).max
+    return head["size"].astype(np.int32), np.ascontiguousarray(head["sig"]), text, body["tile"], rest, (body["rest"] & 3).astype(np.int8), (body["rest"] & 4) > 0
 
 
 def _tiles(batches, t: float, at_once: int = 2_000_000):
@@ -167,14 +178,12 @@ def _tiles(batches, t: float, at_once: int = 2_000_000):
         return
     x = pa.concat_tables(held)
     ids = x["id"].combine_chunks()
-    size, sig, text, tile, left, side = _opened(x["blob"].to_pylist())
+    size, sig, text, tile, left, side, index = _opened(x["blob"].to_pylist())
     del x, held
     order = np.lexsort((size[text], tile))
-    text, tile, left, side = text[order].astype(np.int32), tile[order].astype(np.int64), left[order], side[order]
+    text, tile, left, side, index = text[order].astype(np.int32), tile[order].astype(np.int64), left[order], side[order], index[order]
     size = size[text]
     need_of = least_overlap(np.arange(2 * int(size.max()) + 1), 0, t).astype(np.int32)
-    # the smaller of two alike sets shares one of still fewer of its rarest sequences
-    index = size - left < size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int32) + 1
     # rows of a tile are sorted by size: row r meets the rows after it up to size / t
     end = np.searchsorted(tile * (1 << 31) + size, tile * (1 << 31) + np.floor(size / t + 1e-9).astype(np.int64), side="right")
     begin = np.arange(len(text)) + 1
@@ -243,7 +252,8 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataF
     keyed = folded.select("id", F.xxhash64("folded").alias("h"), F.hash("folded").alias("g"))
     counted = keyed.groupBy("h", "g").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     members = written(keyed.join(counted, ["h", "g"]).select("id", "class_id", "copies"))
-    texts = folded.join(members.where("id = class_id").select("id"), "id", "left_semi").select(F.col("id").alias("class_id"), "folded")
+    copies = small(members.where("id <> class_id").select("id"))
+    texts = folded.join(copies, "id", "left_anti").select(F.col("id").alias("class_id"), "folded")
     return members, texts, order
 
 
