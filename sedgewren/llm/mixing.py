@@ -18,6 +18,11 @@ def draw(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(BUCKETS * BUCKETS))
 
 
+def _plain(sized: DataFrame) -> DataFrame:
+    """The columns that count; NULL tokens are 0."""
+    return sized.select("key", "source", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+
+
 def _running(sums: DataFrame, by: list[str], at: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return sums.withColumn("upto", F.sum("tokens").over(w))
@@ -28,8 +33,10 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, total: float | None = None
 
     ``sized`` has (key, source, tokens). ``total`` is the size of the mix in tokens; by default the largest at which every
     source that has records can reach its share with its repeats. A source without records gets budget 0 and its
-    share is spread over the others in proportion.
+    share is spread over the others in proportion. Records of a NULL or unwanted source take no part; other columns are ignored.
     """
+    sized = _plain(sized)
+    targets = targets.select("source", "target_share", "max_repeat")
     have = sized.groupBy("source").agg(F.sum("tokens").alias("have"))
     t = targets.where((F.col("target_share") > 0) & (F.col("max_repeat") > 0)).join(have, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     alive = F.col("have") > 0
@@ -53,6 +60,7 @@ def mixing_plan(sized: DataFrame, targets: DataFrame, total: float | None = None
 
 def mixed(sized: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """(key, source, tokens, copies) of each chosen record."""
+    sized = _plain(sized)
     p = plan.select("source", "whole", "threshold", "max_repeat")
     copies = F.least(F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0), F.col("max_repeat"))
     return (
