@@ -150,12 +150,13 @@ def text_rewrite_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT id, left(text_content, 12) AS a, left(coalesce(title, ''), 12) AS b FROM law_cases), i AS (SELECT unnest(range(1, 13)) AS i), n AS (SELECT unnest(range(1, 13)) AS n)
-SELECT id, CAST(coalesce(max(CASE WHEN i + n - 1 <= length(a) AND contains(b, substr(a, i, n)) THEN n END), 0) AS INTEGER) AS lcs FROM p, i, n GROUP BY id"""
+    """WITH p AS (SELECT id, coalesce(text_content, '') AS a, coalesce(title, '') AS b FROM law_cases), s AS (SELECT id, a, b, unnest(range(1, length(b) + 1)) AS i FROM p),
+n AS (SELECT *, unnest(range(1, length(b) - i + 2)) AS n FROM s), m AS (SELECT id, max(n) AS lcs FROM n WHERE contains(a, substr(b, i, n)) GROUP BY id)
+SELECT p.id, CAST(coalesce(lcs, 0) AS INTEGER) AS lcs FROM p LEFT JOIN m ON p.id = m.id"""
 )
 def text_common_substring(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "law_cases")
-    return c.select("id", T.longest_common_substring(F.left("text_content", F.lit(12)), F.left(F.coalesce("title", F.lit("")), F.lit(12))).alias("lcs"))
+    return c.select("id", T.longest_common_substring(F.coalesce("title", F.lit("")), F.coalesce("text_content", F.lit(""))).alias("lcs"))
 
 
 @query(
