@@ -242,17 +242,28 @@ def _verified(texts: list[str], known: list[str], p: np.ndarray, q: np.ndarray,
         yield from zip(x[ok].tolist(), y[ok].tolist(), common[ok].tolist())
 
 
-def cross_split_overlaps(rows: DataFrame, id_col: str = "row_id", most_copies: int = 1000, **params) -> DataFrame:
+def cross_split_overlaps(rows: DataFrame, id_col: str = "row_id", block_rows: int = 1000, **params) -> DataFrame:
     """(row_a, row_b, longest, covered), row_a < row_b: every pair of rows across the splits that is alike.
 
-    Rows of a class with more than ``most_copies`` rows are given by their smallest id; ``members`` of
-    ``cross_split_pairs`` has the rest.
+    Rows of a class are cut by hash into blocks of about ``block_rows``; a pair of classes is written out block by block, so
+    that no join key holds more than about ``block_rows`` rows of either side, however many copies a text has.
     """
     pairs, members = cross_split_pairs(rows, id_col, **params)
-    sized = members.join(members.groupBy("side", "c").agg(F.count(F.lit(1)).alias("copies")), ["side", "c"]).where((F.col("copies") <= most_copies) | (F.col("id") == F.col("c")))
-    left = sized.where("side = 0").select(F.col("c").alias("train_class"), F.col("id").alias("x"))
-    right = sized.where("side = 1").select(F.col("c").alias("eval_class"), F.col("id").alias("y"))
-    return pairs.join(left, "train_class").join(right, "eval_class").select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), "longest", "covered")
+    blocks = members.groupBy("side", "c").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    # most classes are one block, which needs no hash
+    cut = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    block = members.join(blocks, ["side", "c"]).withColumn("block", cut)
+    sides = [("train_class", "train_block", "x"), ("eval_class", "eval_block", "y")]
+    for side, (c, at, _) in enumerate(sides):
+        own = blocks.where(F.col("side") == side).select(F.col("c").alias(c), "blocks")
+        pairs = pairs.join(own, c).withColumn(at, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    pairs = written(pairs)
+    key = ["train_class", "eval_class", "train_block", "eval_block"]
+    left, right = (
+        pairs.select(*key, *(["longest", "covered"] if side == 0 else [])).join(block.where(F.col("side") == side).select(F.col("c").alias(c), F.col("block").alias(at), F.col("id").alias(to)), [c, at])
+        for side, (c, at, to) in enumerate(sides)
+    )
+    return left.join(right, key).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), "longest", "covered")
 
 
 def overlap_report(rows: DataFrame, id_col: str = "row_id", split_col: str = "split", source_col: str = "source", label_col: str = "label", **params) -> DataFrame:

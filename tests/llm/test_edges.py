@@ -99,6 +99,19 @@ def test_cross_split(spark):
     assert {(r["row_a"], r["row_b"]) for r in split_overlap.cross_split_overlaps(df, shard_texts=1, train_part=1).collect()} == got
 
 
+def test_cross_split_gives_every_copy(spark):
+    a, b = "邻居在市里私搭棚子物业不管合法吗", "邻居在市里私搭棚子物业不管合法吗呀"
+    rows = [(i, a, "train") for i in range(1100)] + [(2000, a, "dev"), (2001, b, "test"), (2002, a, "test")] + [(3000 + i, b, "dev") for i in range(1050)] + [(5000, b, "train")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, split string")
+    kept = df.where("row_id < 2500 OR row_id = 5000")
+    want = {(i, j) for i in range(1100) for j in (2000, 2001, 2002)} | {(2000, 5000), (2001, 5000), (2002, 5000)}
+    got = [(r["row_a"], r["row_b"]) for r in split_overlap.cross_split_overlaps(kept).collect()]
+    assert len(got) == len(want) and set(got) == want
+    # both sides large
+    n = split_overlap.cross_split_overlaps(df).select("row_a", "row_b")
+    assert n.count() == n.distinct().count() == 1101 * 1053
+
+
 def test_text_index_counts_and_spans():
     import numpy as np
 
