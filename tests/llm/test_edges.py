@@ -87,6 +87,16 @@ def test_personal(spark):
     assert personal.personal_spans(empty, personal.personal_model([empty.select("text")]), "text").count() == 0
 
 
+def test_personal_names_of_common_and_new_characters():
+    names = ["陈以若", "赵以朔", "岑栎", "晏霁以", "裴珩屿", "陆沅", "温聆晚", "孟清岚", "秦若棣", "乔霁"]
+    sample = texts_with_names() + [f"委托代理人{n}，联系电话：139{k:04d}5678。" for k in range(12) for n in names]
+    sample += [f"当事人可以协商，也可以起诉，以书面形式提出，{k}日以内付款，以合同为准，予以支持，所以任何一方可以解除。" * 6 for k in range(400)]
+    model = personal.fit_personal_model(sample)
+    texts = ["我叫裴以汀，电话不便提供。", "委托代理人岑以珩，其余不详。", "被告郭婧雯，住所不详。", "当事人可以付款，任何一方以书面形式提出，张贴以上公告。"]
+    got = {(r, texts[r][a:b]) for r, kind, a, b in personal._judge(texts, model) if kind == "name"}
+    assert got == {(0, "裴以汀"), (1, "岑以珩"), (2, "郭婧雯")}
+
+
 def test_cross_split(spark):
     a = "邻居在市里私搭棚子物业不管合法吗"
     rows = [(1, a + "？", "train", 1, "x"), (2, a, "dev", 0, None), (3, a + "呀", "test", 1, "y"), (4, None, "dev", 1, "x"), (5, "谢谢", "dev", 1, "x"), (6, "谢谢", "train", 1, "x"), (7, LONG, "train", 1, "x"), (8, LONG[:-3], "test", 1, "x"), (9, a, None, 1, "x"), (10, a, "dev", None, "x"), (11, "毫无关系的另外一段话在这里", "test", 1, "x")]
