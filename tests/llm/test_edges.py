@@ -61,6 +61,15 @@ def test_pair_defects(spark):
     assert pair_defects.pair_defects(df.limit(0)).count() == 0
 
 
+def test_pair_defects_refusals_by_cluster(spark):
+    asked = ["房东不退押金怎么办？", "公司拖欠工资能不能仲裁？", "邻居装修漏水由谁赔偿？", "网购的手机是翻新机怎么维权？"]
+    late = ["五年前的借款诉讼时效还在吗？", "货款的诉讼时效怎么算？", "合伙分红的诉讼时效是多久？", "租金诉讼时效过了没有？"]
+    rows = [(i, q, "抱歉，这件事只能由您自己拿主意。") for i, q in enumerate(asked)] + [(10 + i, q, "由出租人承担。") for i, q in enumerate(asked)]
+    rows += [(20 + i, q, "很遗憾，诉讼时效已经届满。") for i, q in enumerate(late)] + [(30, asked[0], "抱歉，这件事只能由您自己拿主意。押金应当在交还房屋后三十日内返还，可以要求对方支付利息。")]
+    df = spark.createDataFrame(rows, "id int, question string, answer string")
+    assert {tuple(r) for r in pair_defects.pair_defects(df).collect()} == {(i, "refusal") for i in range(4)}
+
+
 def texts_with_names():
     names = ["阮栎蘅", "欧阳若", "裴珩屿", "陆沅", "温聆晚", "司徒澜", "孟清岚", "秦若棣", "赵岚玥", "乔霁"]
     out = []
