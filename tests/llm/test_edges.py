@@ -96,6 +96,12 @@ def test_personal(spark):
     assert personal.personal_spans(empty, personal.personal_model([empty.select("text")]), "text").count() == 0
 
 
+def test_personal_takes_no_idle_parameter():
+    with pytest.raises(TypeError):
+        personal.fit_personal_model([], precision=0.9)
+    assert set(personal.fit_personal_model(texts_with_names()).threshold.values()) == {0.5}
+
+
 def test_personal_names_of_common_and_new_characters():
     names = ["陈以若", "赵以朔", "岑栎", "晏霁以", "裴珩屿", "陆沅", "温聆晚", "孟清岚", "秦若棣", "乔霁"]
     sample = texts_with_names() + [f"委托代理人{n}，联系电话：139{k:04d}5678。" for k in range(12) for n in names]
