@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters without width, and the line patterns that mark page furniture.
+# Characters without width, line patterns that mark page furniture, labels before a rewrite.
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 PAGE_MARKER = r"(?iU)^[\s=\-*_#.]*(?:page\s*\(?\d+\)?|第\s*\d+\s*页)[\s=\-*_#.]*$"
 PAGE_NUMBER = r"(?U)^\d{1,4}$"
 FOOTNOTE = r"(?U)^[①-⑳]\s*$"
 HEADER_LINES = [r"^中国法院[0-9]{4}年度案例", r"(?U)^\d{4}\s*年\s*\d{1,2}\s*月$", r"(?U)^目\s*录$", r"^图书在版编目"]
+ANSWER_LABELS = ["改写后", "改写结果", "答案"]
 CN_NUMERALS = "零〇一二三四五六七八九十百千两"
 LEVEL_HEADING = rf"(?U)^第[{CN_NUMERALS}]+([编章节])(?:\s*(.*))?$"
 ARTICLE_START = rf"(?U)^(第[{CN_NUMERALS}]+条)(?:\s*(.*))?$"
@@ -75,9 +78,22 @@ def sentences(c: Column, min_chars: int = 2) -> Column:
     return F.filter(parts, lambda x: F.length(x) >= min_chars)
 
 
+def bound(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a column named twice in a higher-order function is computed each time."""
+    return F.transform(F.array(c), body)[0]
+
+
 def char_ngrams(c: Column, n: int) -> Column:
-    """All sequences of ``n`` characters; a shorter text is its own only one."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    """All sequences of ``n`` characters; a shorter text is its own only one. Linear in the length of the text."""
+
+    def grams(ch: Column) -> Column:
+        count = F.greatest(F.size(ch) - (n - 1), F.lit(1))
+        out = F.slice(ch, 1, count)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(ch, k + 1, count), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+        return out
+
+    return F.when(F.length(c) == 0, F.array(F.lit(""))).otherwise(bound(F.split(c, ""), grams))
 
 
 def tokens(c: Column, mode: str = "char_bigram") -> Column:
@@ -86,14 +102,13 @@ def tokens(c: Column, mode: str = "char_bigram") -> Column:
         return F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{Nd}]+"), lambda x: x != "")
     if mode != "char_bigram":
         raise ValueError(f"unknown tokenizer mode {mode!r}")
-    folded = F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{Nd}]+", "")
-    return F.filter(char_ngrams(folded, 2), lambda x: x != "")
+    return bound(F.regexp_replace(F.lower(c), r"(?U)[^\p{L}\p{Nd}]+", ""), lambda f: F.filter(char_ngrams(f, 2), lambda x: x != ""))
 
 
 def rewrite_cleaned(c: Column) -> Column:
     """A model's rewrite without answer label and outer double quotes."""
-    s = F.regexp_replace(strip(c), r"^(?:改写后的问题|改写后|改写问题|改写|输出)[:：]", "")
-    return F.regexp_replace(strip(s), r'^"+|"+$', "")
+    s = F.regexp_replace(strip(c), rf"(?U)^(?:{'|'.join(ANSWER_LABELS)})[:：]\s*", "")
+    return F.regexp_replace(strip(s), r'^["“”]+|["“”]+$', "")
 
 
 def rewrite_limit(c: Column, least: int = 60, factor: float = 1.2, extra: int = 15) -> Column:

@@ -45,6 +45,48 @@ def classification_report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return cells.select(F.explode(F.array(*rows_)).alias("x")).select("x.*")
 
 
+def confusion(rows: DataFrame, truth: str, guess: str, labels: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """(truth, guess, n) of every cell, empty ones too; other labels take no part."""
+    known = rows.where(F.col(truth).isin(*labels) & F.col(guess).isin(*labels)).groupBy(F.col(truth).cast("int").alias("truth"), F.col(guess).cast("int").alias("guess")).agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "truth int, guess int")
+    return cells.join(known, ["truth", "guess"], "left").select("truth", "guess", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def stage_distribution(rows: DataFrame, stages: list[str], by: str = "hit_stage") -> DataFrame:
+    """(stage, n, share) of every stated stage, those without rows too; other values count as unknown."""
+    known = F.when(F.col(by).isin(*stages), F.col(by)).otherwise("unknown")
+    n = rows.groupBy(known.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.sparkSession.createDataFrame([(s,) for s in stages], "stage string").join(n, "stage", "full").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return every.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("n").cast("double"), total.cast("double")), F.lit(0.0)), 6))
+
+
+def covered_share(verdicts: DataFrame, by: str, covered: str, name: str) -> DataFrame:
+    """(by, name): share of a sample's statements that a judge found covered; NULL verdicts don't count, none gives NULL.
+
+    Statements of the reference answer held against the contexts give context recall, those of the answer faithfulness.
+    """
+    return verdicts.groupBy(by).agg(F.round(F.avg(F.col(covered).cast("int")), 6).alias(name))
+
+
+def answer_correctness(verdicts: DataFrame, by: str = "qa_id", verdict: str = "verdict", similarity: str = "similarity", weight: float = 0.75) -> DataFrame:
+    """(by, answer_correctness): F1 over statements judged TP, FP or FN, and similarity of answer and reference, weighted."""
+    n = lambda v: F.count_if(F.col(verdict) == v)
+    f1 = F.coalesce(F.try_divide(n("TP").cast("double"), n("TP") + 0.5 * (n("FP") + n("FN"))), F.lit(0.0))
+    return verdicts.groupBy(by).agg(F.round(weight * f1 + (1 - weight) * F.coalesce(F.first(similarity, ignorenulls=True), F.lit(0.0)), 6).alias("answer_correctness"))
+
+
+def answer_relevancy(generated: DataFrame, by: str = "qa_id", similarity: str = "similarity", evasive: str = "evasive") -> DataFrame:
+    """(by, answer_relevancy): mean similarity of questions made from the answer to the asked one; 0 if all are evasive."""
+    return generated.groupBy(by).agg(F.round(F.when(F.min(F.col(evasive).cast("int")) == 1, F.lit(0.0)).otherwise(F.avg(similarity)), 6).alias("answer_relevancy"))
+
+
+def dataset_summary(samples: DataFrame) -> DataFrame:
+    """(scene, n, mean_answer_chars, retried) of each scene and, as scene NULL, of all; a NULL scene counts as unknown."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.round(F.avg("answer_chars"), 4).alias("mean_answer_chars"), F.count_if(F.col("rewrite_attempts") > 1).alias("retried")]
+    return samples.withColumn("scene", F.coalesce("scene", F.lit("unknown"))).rollup("scene").agg(*aggs)
+
+
 def verdict_metrics(verdicts: DataFrame, by: str = "query_id", rank: str = "rank", relevant: str = "relevant") -> DataFrame:
     """(by, context_precision, hit_rate): rank-weighted precision over given relevance verdicts, and their mean."""
     w = Window.partitionBy(by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)

@@ -20,18 +20,39 @@ def local_session(cores: int = 8, memory: str = "12g", partitions: int = 8, name
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="sedgewren-"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """This run's folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Without the setting a temporary folder is made in local mode only, where driver and executors are one machine; on a cluster
+    that is an error. The folder is deleted when the session's JVM ends, or by ``release``.
+    """
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sedgewren-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    run = f"{where.rstrip('/')}/sedgewren-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(run)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this run has written; frames that still read them can't be used afterwards."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -47,6 +68,12 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame in fewer pieces than there are cores is dealt out to all of them before costly work; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -39,21 +39,29 @@ def read_docx(data: bytes) -> str:
     return "\n".join(x for x in out if x.strip())
 
 
+def _shapes(tree, dx: int = 0, dy: int = 0):
+    """(top, left, text) of all shapes and tables below a tree; offsets inside groups are made absolute."""
+    for shape in tree:
+        if shape.tag == f"{_P}grpSp":
+            own, inner = (next((x for x in shape.iter(f"{_A}{n}")), None) for n in ("off", "chOff"))
+            move = [int(own.get(k, 0)) - int(inner.get(k, 0)) if own is not None and inner is not None else 0 for k in "xy"]
+            yield from _shapes(shape, dx + move[0], dy + move[1])
+        elif shape.tag in (f"{_P}sp", f"{_P}graphicFrame"):
+            off = next(shape.iter(f"{_A}off"), None)
+            at = (int(off.get("y", 0)) + dy, int(off.get("x", 0)) + dx) if off is not None else (dy, dx)
+            lines = ["".join(t.text or "" for t in p.iter(f"{_A}t")) for p in shape.iter(f"{_A}p")]
+            yield at, "\n".join(x for x in lines if x.strip())
+        else:
+            yield from _shapes(shape, dx, dy)
+
+
 def read_pptx(data: bytes) -> str:
     """Texts of each slide's shapes, from top to bottom and left to right."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         slides = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[1])) or 0))
         for name in slides:
-            shapes = []
-            for shape in ElementTree.fromstring(z.read(name)).iter():
-                if shape.tag not in (f"{_P}sp", f"{_P}graphicFrame"):
-                    continue
-                off = next(shape.iter(f"{_A}off"), None)
-                at = (int(off.get("y", 0)), int(off.get("x", 0))) if off is not None else (0, 0)
-                lines = ["".join(t.text or "" for t in p.iter(f"{_A}t")) for p in shape.iter(f"{_A}p")]
-                shapes.append((at, "\n".join(x for x in lines if x.strip())))
-            out += [t for _, t in sorted(shapes, key=lambda s: s[0]) if t]
+            out += [t for _, t in sorted(_shapes(ElementTree.fromstring(z.read(name))), key=lambda s: s[0]) if t]
     return "\n".join(out)
 
 
@@ -89,7 +97,8 @@ def picture_counts(width: Column, height: Column, page_width: Column, page_heigh
 def load_documents(spark: SparkSession, folder: str, doc_type: str | None = None, loaders: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """One row for each file below a folder. The type is ``doc_type``, else the parent folder if it is law or case, else NULL.
 
-    Unknown extensions and failing files keep a row with NULL text and an error; other files are not affected.
+    Unknown extensions and failing files keep a row with NULL text and an error; other files are not affected. A ``doc_type``
+    other than law and case is not taken, and each row's error says so.
     """
     known = loaders or LOADERS
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
@@ -109,7 +118,10 @@ def load_documents(spark: SparkSession, folder: str, doc_type: str | None = None
                 rows.append((name, path, k, text, error))
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], names=["source", "path", "doc_type", "text", "error"])
 
-    return files.withColumn("kind", kind).mapInArrow(run, DOCUMENT)
+    loaded = files.withColumn("kind", kind).mapInArrow(run, DOCUMENT)
+    if doc_type in (None, "law", "case"):
+        return loaded
+    return loaded.withColumn("error", F.concat_ws("; ", F.lit(f"unknown doc_type {doc_type!r}"), "error"))
 
 
 def read_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +145,7 @@ def read_artefact(spark: SparkSession, path: str, field: str = "samples") -> Dat
 
 def read_excel_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(question, answer) rows of a small workbook's first sheet."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(path) as z:  # a workbook is one file of a bounded size
         ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
         shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{ns}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
         rows = []

@@ -31,6 +31,11 @@ def cache_rows(answers: DataFrame, question: str = "question", answer: str = "an
     return rows.groupBy("key").agg(F.max_by("value", "written_at").alias("value"), F.max("written_at").alias("written_at"))
 
 
+def cached_answers(cache: DataFrame) -> DataFrame:
+    """(key, answer, written_at) of cache rows; a value that is no such object gives a NULL answer."""
+    return cache.select("key", F.from_json("value", "answer string")["answer"].alias("answer"), "written_at")
+
+
 def live_cache(cache: DataFrame, now, ttl_seconds: int = 3600) -> DataFrame:
     """Entries that have not expired at ``now``; reading does not renew them."""
     return cache.where(F.col("written_at").cast("timestamp").cast("double") > F.lit(now).cast("timestamp").cast("double") - ttl_seconds)

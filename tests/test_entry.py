@@ -9,7 +9,7 @@ REPO = Path(__file__).resolve().parent.parent
 
 def test_catalogue_is_complete():
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 50
+    assert set(o) <= set(q) and len(q) >= 65
 
 
 def test_core_does_not_need_the_subpackage():

@@ -39,7 +39,8 @@ def test_longest_common_substring(spark):
 
 def test_classifier_text_and_rewrites(spark):
     assert one(spark, "  怎么办？？? ", T.classifier_text) == "怎么办"
-    assert one(spark, '改写后的问题：  "怎么办" ', T.rewrite_cleaned) == "怎么办"
+    assert one(spark, '改写后：  "怎么办" ', T.rewrite_cleaned) == "怎么办"
+    assert one(spark, " 答案:“怎么办”", T.rewrite_cleaned) == "怎么办" and one(spark, "改写后的问题：x", T.rewrite_cleaned) == "改写后的问题：x"
     assert one(spark, "长" * 100, T.rewrite_limit) == 135
 
 
