@@ -34,8 +34,9 @@ def _folded_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-grams of all texts, and the text of each."""
+    """Hashed 1- to 3-grams of all texts, and the text of each; alone, an ideograph or kana counts as one of its script."""
     points, offsets = _folded_points(texts)
+    script = np.where((points >= 0x3400) & (points <= 0x9FFF), 0x4E00, np.where((points >= 0x3041) & (points <= 0x30FF), 0x3042, points)).astype(np.uint32)
     of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
     keys, owners, value = [], [], np.zeros(len(points), np.uint64)
     for n in range(1, ORDERS + 1):
@@ -43,7 +44,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             break
         value = (value[: len(points) - n + 1] << np.uint64(21)) | points[n - 1 :].astype(np.uint64)
         inside = of[: len(value)] == of[n - 1 :] if n > 1 else slice(None)
-        keys.append((mixed_hash(value, n) >> np.uint64(64 - BITS)).astype(np.int32)[inside])
+        keys.append((mixed_hash(script.astype(np.uint64) if n == 1 else value, n) >> np.uint64(64 - BITS)).astype(np.int32)[inside])
         owners.append(of[: len(value)][inside])
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.empty(0, np.int32), np.empty(0, np.int32))
 
@@ -165,39 +166,62 @@ def base_code(lang):
 def fit_language_model(docs: DataFrame, codes: list[str], text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2400, sample_pieces: int = 12000, rounds: int = 2, seed: int = 0) -> LanguageModel:
     """Fit on at most ``sample_pieces`` sentences of at most ``sample_docs`` labelled documents, spread evenly over the labels.
 
-    Labels are cleaned first: in each round the sentences are halved, and a sentence is left out if the model of the other half
-    prefers another language than its label's. That removes wrong labels and passages in another language.
+    Labels are cleaned first: in each round the documents are halved, and a sentence is left out if the model of the other half
+    prefers another language than its label's, or if it does so for most of its document. That removes wrong labels and passages
+    in another language.
     """
     counted = document_frequencies(docs.where(F.col(text_col).isNotNull()).select(text_col))
     total = max(1, docs.count())
     idf = np.log((1 + total) / (1 + counted)) + 1
     labelled = docs.select(F.col(text_col).alias("t"), base_code(F.col(lang_col)).alias("l")).where(F.col("l").isin(codes) & F.col("t").isNotNull())
-    per = -(-sample_docs // len(codes))
-    picked = None
-    for c in codes:
-        part = labelled.where(F.col("l") == c).select("t", "l", F.xxhash64("t", F.lit(seed)).alias("h")).orderBy("h", "t").limit(per)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = [(line, codes.index(r["l"])) for r in picked.collect() for line in line_split(r["t"]) for line in _pieces(line)]
+    # about equally many different texts of each label: counted in one pass, chosen by hash in another
+    per, h = -(-sample_docs // len(codes)), F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_000))
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.approx_count_distinct("t").alias("n")).collect()}
+    share = F.lit(0)
+    for c, n in sizes.items():
+        share = F.when(F.col("l") == c, int(1_000_000 * min(1.0, 1.1 * per / max(n, 1)))).otherwise(share)
+    picked = labelled.where(h < share).select("t", "l").distinct().limit(2 * sample_docs)
+    found = sorted((r["t"], codes.index(r["l"])) for r in picked.collect())
+    rows = _undisputed([(line, y, n) for n, (t, y) in enumerate(found) for line in line_split(t) for line in _pieces(line)], len(codes))
     rng, by_label = np.random.default_rng(seed), {}
     for i in rng.permutation(len(rows)):
         by_label.setdefault(rows[i][1], []).append(i)
     rows = [rows[i] for part in by_label.values() for i in part[: max(1, sample_pieces // len(codes))]]
-    texts, labels = [x for x, _ in rows], np.array([y for _, y in rows], dtype=np.int64)
+    texts, labels, of = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
     if not len(texts):
         return LanguageModel(codes, np.zeros((1 << BITS, len(codes)), np.float32), np.zeros(len(codes)), idf)
-    keep, fold = np.ones(len(texts), bool), np.random.default_rng(seed).integers(0, 2, len(texts))
+    # halves of equally many documents of each label
+    turn, half_of = np.random.default_rng(seed).integers(0, 2, len(codes)), np.zeros(len(found), np.int64)
+    for n, (_, y) in enumerate(found):
+        half_of[n], turn[y] = turn[y] % 2, turn[y] + 1
+    keep, side_of = np.ones(len(texts), bool), half_of[of]
     for _ in range(rounds):
         agrees = keep.copy()
         for side in (0, 1):
-            at, other = np.flatnonzero(keep & (fold == side)), np.flatnonzero(keep & (fold != side))
+            at, other = np.flatnonzero(keep & (side_of == side)), np.flatnonzero(keep & (side_of != side))
             if len(at) and len(other):
                 half = fit_ftrl([texts[i] for i in at], labels[at], codes, idf, seed=seed)
-                agrees[other] = half.logits([texts[i] for i in other]).argmax(axis=1) == labels[other]
-        keep = agrees
+                known = np.isin(labels[other], labels[at])  # a label that one half lacks can't be judged by it
+                agrees[other] = ~known | (half.logits([texts[i] for i in other]).argmax(axis=1) == labels[other])
+        # a document most of whose sentences disagree is wrongly labelled as a whole
+        share = np.bincount(of, weights=agrees, minlength=len(found)) / np.maximum(np.bincount(of, weights=keep, minlength=len(found)), 1)
+        keep = agrees & (share[of] >= 0.5)
     at = np.flatnonzero(keep)
     return fit_ftrl([texts[i] for i in at], labels[at], codes, idf, seed=seed)
 
 
+def _undisputed(rows: list[tuple[str, int, int]], k: int) -> list[tuple[str, int, int]]:
+    """Rows (text, label, document) whose label is the one their sentence, digits aside, has most often; even ones are left out.
+
+    A set sentence in wrongly labelled documents would otherwise be learnt by heart under their label.
+    """
+    votes: dict[str, np.ndarray] = {}
+    forms = [re.sub(r"[0-9０-９]+", "0", text) for text, _, _ in rows]
+    for f, (_, y, _) in zip(forms, rows):
+        votes.setdefault(f, np.zeros(k, np.int64))[y] += 1
+    return [r for f, r in zip(forms, rows) if votes[f][r[1]] == votes[f].max() and (votes[f] == votes[f].max()).sum() == 1]
+
+
 def _pieces(line: str) -> list[str]:
     """Sentences of a training line, so that short texts are learnt too."""
     return [x for x in re.split(r"(?<=[。！？.!?])\s*(?=\D)", line) if len(x) >= 8] or [line]
@@ -208,7 +232,8 @@ def languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", tex
 
     A document's language is that of most of its characters. Only lines in another language than the document's are given,
     so a document in one language has one row. ``labelled`` is the label's language code, '' if there is none. NULL or blank
-    texts get one row with lang_code NULL and confidence 0. Line language below 12 letters is the document's.
+    texts get one row with lang_code NULL and confidence 0. A line below 12 letters has the
+    document's language; an ideograph or kana counts as three letters.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), base_code(F.col(lang_col)).alias("l"))
@@ -242,10 +267,15 @@ def _document(lines: list[str], p: np.ndarray, codes: list[str]):
     main = int(np.argmax(np.bincount(best, weights=size, minlength=len(codes))))
     yield 0, codes[main], float((p[:, main] * size).sum() / size.sum())
     for n, line in enumerate(lines):
-        if best[n] != main and sum(map(str.isalpha, line)) >= 12 and p[n, best[n]] >= 0.5:
+        if best[n] != main and _letters(line) >= 12 and p[n, best[n]] >= 0.5:
             yield n + 1, codes[int(best[n])], float(p[n, best[n]])
 
 
+def _letters(line: str) -> int:
+    """Letters of a line, an ideograph, kana or syllable sign counting three, as it says about as much."""
+    return sum(3 if c > "\u2e7f" else 1 for c in line if c.isalpha())
+
+
 def label_errors(found: DataFrame) -> DataFrame:
     """(doc_id, segment_no, lang_code) of missing or wrong document labels and of lines in another language."""
     return found.where("lang_code IS NOT NULL AND (segment_no > 0 OR labelled <> lang_code)").select("doc_id", "segment_no", "lang_code")

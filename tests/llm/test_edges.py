@@ -55,19 +55,47 @@ def test_pair_defects(spark):
         (10, q, "可以起诉，但是，如果", "truncated_answer"), (11, q, "依照《住宅租赁管理", "truncated_answer"), (12, q, "应当返还。可以先协商，协商不成再起诉。", None),
         (13, None, "应当返还押金，建议先协商。", None), (14, q, q + "可以要求返还押金，并要求支付利息，建议先发送书面通知，协商不成的再向法院起诉。", None), (15, q, LONG, None), (16, q, "抱歉，久等了。押金应当在交还房屋后返还，可以要求对方支付利息。", None),
     ]
+    # templates have to recur over questions that have nothing in common
+    asked = ["公司拖欠工资能不能仲裁？", "邻居装修漏水由谁赔偿？", "网购的手机是翻新机怎么维权？", "五年前的借款诉讼时效还在吗？", "合伙分红一直不给怎么办？"]
+    for i, other in enumerate(asked):
+        rows += [(100 + i, other, "抱歉，我无法回答这个问题。", "refusal"), (110 + i, other, "I'm sorry, but I can't help with that.", "refusal")]
+        rows += [(120 + 10 * k + i, other, t, None) for k, t in enumerate(("由出租人承担。", "应当先申请调解。", "可以主张，建议尽快起诉。", "需要看合同中是否约定了期限。"))]
     df = clash(spark.createDataFrame([r[:3] for r in rows], "id int, question string, answer string"))
     got = {r["id"]: r["defect_type"] for r in pair_defects.pair_defects(df).collect()}
     assert {i: got.get(i) for i, *_ in rows} == {r[0]: r[3] for r in rows}
     assert pair_defects.pair_defects(df.limit(0)).count() == 0
 
 
-def test_pair_defects_refusals_by_cluster(spark):
-    asked = ["房东不退押金怎么办？", "公司拖欠工资能不能仲裁？", "邻居装修漏水由谁赔偿？", "网购的手机是翻新机怎么维权？"]
-    late = ["五年前的借款诉讼时效还在吗？", "货款的诉讼时效怎么算？", "合伙分红的诉讼时效是多久？", "租金诉讼时效过了没有？"]
-    rows = [(i, q, "抱歉，这件事只能由您自己拿主意。") for i, q in enumerate(asked)] + [(10 + i, q, "由出租人承担。") for i, q in enumerate(asked)]
-    rows += [(20 + i, q, "很遗憾，诉讼时效已经届满。") for i, q in enumerate(late)] + [(30, asked[0], "抱歉，这件事只能由您自己拿主意。押金应当在交还房屋后三十日内返还，可以要求对方支付利息。")]
-    df = spark.createDataFrame(rows, "id int, question string, answer string")
-    assert {tuple(r) for r in pair_defects.pair_defects(df).collect()} == {(i, "refusal") for i in range(4)}
+REFUSED = ["房东不退押金怎么办？", "公司拖欠工资能不能仲裁？", "邻居装修漏水由谁赔偿？", "网购的手机是翻新机怎么维权？", "五年前的借款还能要吗？", "合伙分红一直不给怎么办？"]
+
+
+def template_rows():
+    """Refusals of several wordings and sound short answers, each over questions that have nothing in common."""
+    refusals = ["抱歉，这件事只能由您自己拿主意。", "对不起，出于合规要求，这件事只能由您自己拿主意。", "很遗憾，出于合规要求，本栏目给不了您说法。", "出于合规要求，这件事只能由您自己拿主意。"]
+    sound = ["由出租人承担。", "应当先申请调解。", "可以主张，建议尽快起诉。", "需要看合同中是否约定了期限。", "应当返还，并支付利息。", "不能，应先申请调解。", "押金应当在交还房屋后三十日内返还，可以要求对方支付利息。", "违约金明显过高的，可以请求适当减少。", "调解不成的，可以凭合同直接起诉。"]
+    sound += ["一方未按约支付的，另一方有权请求继续履行。", "时效从知道权利受损之日起算，书面催告会引起中断。", "举证责任由主张权利的一方承担，交付记录尤为重要。", "应核对印章备案情况与经办人的授权范围。", "之后发生的费用，应由实际使用的一方负担。"]
+    out = [(10 * k + i, q, t, "refusal") for k, t in enumerate(refusals) for i, q in enumerate(REFUSED)]
+    out += [(1000 + 10 * k + i, q, t, None) for k, t in enumerate(sound) for i, q in enumerate(REFUSED)]
+    substance = "押金应当在交还房屋后三十日内返还，可以要求对方支付利息。"
+    return out + [(2000 + i, q, f"抱歉，这件事只能由您自己拿主意。{substance}", None) for i, q in enumerate(REFUSED)]
+
+
+def test_refusals_need_neither_list_nor_apology(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(pair_defects, "DECLINE", re.compile(r"$^"))
+    rows = template_rows()
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, question string, answer string")
+    got = {r["id"]: r["defect_type"] for r in pair_defects.pair_defects(df).collect()}
+    assert {i: got.get(i) for i, *_ in rows} == {r[0]: r[3] for r in rows}
+
+
+def test_clause_clusters_in_blocks(spark):
+    texts = [f"我不便就{a}事项发表任何看法和意见以及任何其他建议" for a in "甲乙丙丁戊己庚辛"] + ["完全不同的一句话", "另外一句毫不相干的话"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "clause string, prompts long")
+    for block in (1000, 3):
+        got = {r["clause"]: r["leader"] for r in pair_defects.clause_clusters(df, 0.6, block).collect()}
+        assert set(got) | set(got.values()) == set(texts[:8])
 
 
 def texts_with_names():
@@ -96,10 +124,25 @@ def test_personal(spark):
     assert personal.personal_spans(empty, personal.personal_model([empty.select("text")]), "text").count() == 0
 
 
-def test_personal_takes_no_idle_parameter():
-    with pytest.raises(TypeError):
-        personal.fit_personal_model([], precision=0.9)
-    assert set(personal.fit_personal_model(texts_with_names()).threshold.values()) == {0.5}
+def test_personal_thresholds_follow_the_precision():
+    import numpy as np
+
+    from sedgewren.llm.boosting import BoostedTrees
+
+    rng = np.random.default_rng(0)
+    x = rng.random((4000, 1))
+    y = (rng.random(4000) < x[:, 0]).astype(int)
+    low, high = (BoostedTrees().fit(x, y, p).threshold for p in (0.6, 0.9))
+    assert 0.3 <= low < high <= 0.9
+    model = personal.fit_personal_model(texts_with_names() * 2)
+    assert set(model.trees) == set(personal.TYPES) == set(model.threshold)
+
+
+def test_personal_bounds_of_addresses_and_mail():
+    model = personal.fit_personal_model(texts_with_names())
+    texts = ["我住在江川市南山区长宁路88号，门口有树。", "邮箱ab.c77@mail.example。谢谢。", "长宁路88号没有写明。"]
+    got = {(k, texts[r][a:b]) for r, k, a, b in personal._judge(texts, model) if k in ("address", "email")}
+    assert got == {("address", "江川市南山区长宁路88号"), ("email", "ab.c77@mail.example")}
 
 
 def test_personal_names_of_common_and_new_characters():
@@ -216,12 +259,12 @@ def test_mixing(spark):
 def test_language(spark):
     en, zh, de = "The tenant shall return the keys within ten days. ", "承租人应当在十日内返还房屋钥匙。", "Der Mieter muss die Schlüssel innerhalb von zehn Tagen zurückgeben. "
     rows = [(i, (en, zh, de)[i % 3] * (1 + i % 4), ("en", "zh-CN", "de")[i % 3]) for i in range(240)]
-    rows += [(1000, zh * 5 + "\n" + en, "zh"), (1001, en * 3, None), (1002, de * 3, "EN"), (1003, None, "en"), (1004, " \n ", "en"), (1005, zh * 2000, "und"), (1006, zh, "zh_cn")]
+    rows += [(1000, zh * 5 + "\n" + en, "zh"), (1007, en * 6 + "\n房屋租赁合同", "en"), (1001, en * 3, None), (1002, de * 3, "EN"), (1003, None, "en"), (1004, " \n ", "en"), (1005, zh * 2000, "und"), (1006, zh, "zh_cn")]
     df = clash(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     model = language.fit_language_model(df, ["de", "en", "zh"])
     found = language.languages(df, model)
     got = {tuple(r) for r in language.label_errors(found).collect() if r["doc_id"] >= 1000}
-    assert got == {(1000, 2, "en"), (1001, 0, "en"), (1002, 0, "de"), (1005, 0, "zh")}
+    assert got == {(1000, 2, "en"), (1007, 2, "zh"), (1001, 0, "en"), (1002, 0, "de"), (1005, 0, "zh")}
     blank = {r["doc_id"]: (r["lang_code"], r["confidence"]) for r in found.where("doc_id IN (1003, 1004)").collect()}
     assert blank == {1003: (None, 0.0), 1004: (None, 0.0)}
     assert all(0 <= r["confidence"] <= 1 for r in found.collect())
