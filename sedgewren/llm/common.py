@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -108,6 +109,19 @@ def histogram(df, count, bits: int, rows: int = 1):
     return out
 
 
+def hot_join(rows, table, keys: list[str], count: str, most: int = 50_000):
+    """Inner join of ``rows`` with one row for each key, whose number of rows stands in ``count``.
+
+    Keys of more than ``most`` rows are at most a ``most``-th as many as all rows; they are counted and sent to all tasks, so that no
+    task gets all rows of a hot key. The others are joined by key.
+    """
+    from sedgewren.session import small
+
+    hot = small(table.where(F.col(count) > most))
+    usual = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(count) <= most), keys)
+    return rows.join(hot, keys).unionByName(usual)
+
+
 def _packed(a: np.ndarray) -> bytes:
     import zstandard
 

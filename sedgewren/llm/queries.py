@@ -130,6 +130,12 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "raw"))
 
 
+def p6_members(spark: SparkSession, folder: str) -> DataFrame:
+    from sedgewren.llm.split_overlap import overlap_members
+
+    return overlap_members(table(spark, folder, "raw"))
+
+
 def p7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from sedgewren.llm.neighbours import nearest
 
@@ -162,4 +168,4 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     return _languages(spark, folder).select("doc_id", "segment_no", "lang_code", F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p7_found, p7_neighbours, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_languages)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_redacted, p5_found, p5_clean, p6_found, p6_report, p6_members, p7_found, p7_neighbours, p8_containers, p8_report, p9_mix, p9_shares, p10_found, p10_languages)}

@@ -1,10 +1,11 @@
 """Same or nearly the same texts across splits (problem 6).
 
 The texts of the evaluation splits are cut into shards, and each shard is kept as a compressed full-text index: the
-Burrows-Wheeler transform with the text that each suffix belongs to. Training texts stream through the shards. Backward search
-counts every two-character sequence of a text; the rarest ones of them must occur in any text that is alike enough, so only
-they are located. Where a text and an evaluation text meet, their maximal matches are merged into spans, common sequences are
-counted, and the similarity is exact.
+Burrows-Wheeler transform with the text that each suffix belongs to. Texts alike enough share one of the rarest two-character
+sequences of either side, under one order for all texts; a text goes to the shards that its rarest sequences belong to, so it
+is not sent to every shard. Training texts stream through their shards, and backward search locates these sequences. Of each pair
+that is alike, backward search of the training text in the evaluation text gives all maximal matches, which are merged into spans;
+common sequences are counted, and the similarity is exact.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import _packed, code_points, fold, gram_sets, mixed_hash, strings
-from sedgewren.llm.near_pairs import _signatures, bitmap_bound, least_overlap
-from sedgewren.session import written
+from sedgewren.llm.common import _packed, code_points, fold, gram_sets, hot_join, mixed_hash, strings
+from sedgewren.llm.near_pairs import ORDER_BITS, _bucket, _signatures, bitmap_bound, least_overlap, sequence_counts
+from sedgewren.session import small, written
 
 N = 2
 
@@ -41,13 +42,18 @@ def suffix_array(points: np.ndarray) -> np.ndarray:
 
 
 class TextIndex:
-    """Full-text index of a list of texts, each followed by a separator."""
+    """Full-text index of a list of texts, each followed by a separator.
 
-    def __init__(self, texts: list[str] | None = None, packed: dict | None = None):
+    With ``apart`` the letters of a text are marked with its number, so that a pattern marked likewise is searched in that text only.
+    """
+
+    def __init__(self, texts: list[str] | None = None, packed: dict | None = None, apart: bool = False):
         if packed is None:
             points, offsets = code_points([t + "\0" for t in texts])
+            if apart:
+                points = points.astype(np.uint64) | np.repeat(np.arange(len(texts)), np.diff(offsets)).astype(np.uint64) << np.uint64(21)
             order = suffix_array(points)
-            self.bwt = points[order - 1].astype(np.uint32)
+            self.bwt = points[order - 1]
             self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))[order]
         else:
             self.bwt = np.frombuffer(_raw(packed["bwt"]), np.uint32)
@@ -85,69 +91,108 @@ def _raw(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def _candidates(index: TextIndex, sizes: np.ndarray, known: np.ndarray, texts: list[str], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, indexed text) pairs that share one of the text's rarest sequences and whose sizes and bitmaps allow the similarity."""
+def _rarest(texts: list[str], often: np.ndarray, shards: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences, texts and shards of the rarest sequences of each text, of which alike texts share one; and all sizes."""
     value, of, size = gram_sets(texts, N)
+    bucket = _bucket(value)
+    order = np.lexsort((value, often[bucket].astype(np.int64) << ORDER_BITS | bucket, of))
+    value, of = value[order], of[order]
+    pos = np.arange(len(value)) - (np.cumsum(size) - size)[of]
+    keep = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[of]
+    value, of = value[keep], of[keep]
+    return value, of, (mixed_hash(value, 3) % np.uint64(shards)).astype(np.int32), size
+
+
+def _candidates(index: TextIndex, sizes: np.ndarray, known: np.ndarray, texts: list[str], often: np.ndarray, shards: int, shard: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, indexed text) pairs that share one of the text's rarest sequences of this shard and whose sizes and bitmaps allow the
+    similarity."""
+    value, of, at, size = _rarest(texts, often, shards, t)
+    value, of = value[at == shard], of[at == shard]
     if not len(value) or not index.n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     mask = np.uint64((1 << 21) - 1)
     low, high = np.zeros(len(value), np.int64), np.full(len(value), index.n, np.int64)
     for k in range(N):
-        low, high = index.back(((value >> np.uint64(21 * k)) & mask).astype(np.uint32), low, high)
+        low, high = index.back(((value >> np.uint64(21 * k)) & mask).astype(index.letters.dtype), low, high)
     count = np.maximum(high - low, 0)
-    order = np.lexsort((count, of))
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    pos = np.arange(len(value)) - starts[of]
-    keep = order[(pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[of[order]])]
-    keep = keep[count[keep] > 0]
-    c = count[keep]
-    row = np.repeat(of[keep], c)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[keep], c)
-    doc = index.owner[at].astype(np.int64)
-    a, b = size[row], sizes[doc]
-    ok = (b >= t * a - 1e-9) & (a >= t * b - 1e-9)
-    row, doc, a, b = row[ok], doc[ok], a[ok], b[ok]
-    mine = _signatures(value, of, len(texts))
-    kept = []
-    for k in range(0, len(row), 1_000_000):
-        part = slice(k, k + 1_000_000)
-        may = bitmap_bound(mine[row[part]], known[doc[part]], a[part], b[part]) >= least_overlap(a[part], b[part], t)
-        kept.append(row[part][may] * (1 << 32) + doc[part][may])
+    every, own, _ = gram_sets(texts, N)
+    mine = _signatures(every, own, len(texts))
+    kept, begin = [], 0
+    upto = np.cumsum(count)
+    while begin < len(count):  # about a million located places at a time
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 1_000_000, side="right")))
+        c = count[begin:end]
+        row = np.repeat(of[begin:end], c)
+        doc = index.owner[np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:end], c)].astype(np.int64)
+        begin = end
+        pair = np.unique(row * (1 << 32) + doc)
+        row, doc = pair >> 32, pair & ((1 << 32) - 1)
+        a, b = size[row], sizes[doc]
+        ok = (b >= t * a - 1e-9) & (a >= t * b - 1e-9)
+        row, doc, a, b, pair = row[ok], doc[ok], a[ok], b[ok], pair[ok]
+        kept.append(pair[bitmap_bound(mine[row], known[doc], a, b) >= least_overlap(a, b, t)])
     pair = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
     return pair >> 32, pair & ((1 << 32) - 1)
 
 
-def _windows(points: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all windows of ``n`` characters, by doubling."""
-    h, width, out, taken = points.astype(np.uint64), 1, None, 0
-    while n:
-        if n & 1:
-            out = mixed_hash(h[taken:], 1) if out is None else mixed_hash(out[: len(h) - taken] * np.uint64(3) + h[taken:][: len(out)], width)
-            taken += width
-        n >>= 1
-        if n:
-            h = mixed_hash(h[: len(h) - width] * np.uint64(5) + h[width:], width + 7)
-            width *= 2
-    return out
-
-
-def overlap_spans(a: str, b: str) -> tuple[int, int]:
-    """Length of the longest maximal match of a in b, and characters of a in the merged spans of all matches of two or more."""
-    if min(len(a), len(b)) < N:
-        return 0, 0
-    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    hit = np.isin(_windows(x, N), _windows(y, N))
-    inside = np.zeros(len(x), bool)
-    inside[:-1] |= hit
-    inside[1:] |= hit
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        mid = (low + high + 1) // 2
-        if np.isin(_windows(x, mid), _windows(y, mid)).any():
-            low = mid
-        else:
-            high = mid - 1
-    return (low if low >= N else 0), int(inside.sum())
+def maximal_matches(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, begin, end) of every maximal match of ``N`` or more characters of each left text in the right text of its pair.
+
+    Backward search in an index of the right texts, all pairs at once: from an end the match is extended to the left as far as it
+    occurs. The next match has to hold the character at which that ended; its end is found by bisection, as what occurs still
+    occurs when it is shortened.
+    """
+    index = TextIndex(right, apart=True)
+    points, offsets = code_points(left)
+    base, mark = offsets[:-1], np.arange(len(left)).astype(np.uint64) << np.uint64(21)
+
+    def reach(who: np.ndarray, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How far to the left, down to ``stop``, the text before ``end`` occurs."""
+        begin, low, high, live = end.copy(), np.zeros(len(who), np.int64), np.full(len(who), index.n, np.int64), np.flatnonzero(end > stop)
+        while len(live):
+            letter = points[base[who[live]] + begin[live] - 1].astype(np.uint64) | mark[who[live]]
+            lo, hi = index.back(letter, low[live], high[live])
+            live, lo, hi = live[hi > lo], lo[hi > lo], hi[hi > lo]
+            begin[live] -= 1
+            low[live], high[live] = lo, hi
+            live = live[begin[live] > stop[live]]
+        return begin
+
+    out = ([], [], [])
+    who, end = np.arange(len(left)), np.diff(offsets)
+    while len(who):
+        begin = reach(who, end, np.zeros(len(who), np.int64))
+        good = end - begin >= N
+        for column, x in zip(out, (who[good], begin[good], end[good])):
+            column.append(x)
+        go = begin > 0
+        who, begin, end = who[go], begin[go], end[go]
+        # the last end at which the text from begin - 1 on occurs; below begin it does not occur at all
+        low, high = begin - 1, np.maximum(end - 1, begin - 1)
+        while (low < high).any():
+            at = np.flatnonzero(low < high)
+            mid = (low[at] + high[at] + 1) // 2
+            ok = reach(who[at], mid, begin[at] - 1) == begin[at] - 1
+            low[at] = np.where(ok, mid, low[at])
+            high[at] = np.where(ok, high[at], mid - 1)
+        end = low
+        more = end > 0
+        who, end = who[more], end[more]
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+
+
+def overlap_spans(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair the length of the longest maximal match, and the characters of the left text in the merged spans of all of them."""
+    pair, begin, end = maximal_matches(left, right)
+    longest, covered = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    np.maximum.at(longest, pair, end - begin)
+    order = np.lexsort((begin, pair))
+    pair, begin, end = pair[order], begin[order], end[order]
+    # ends of maximal matches rise with their begins, so a span adds what lies beyond the one before
+    before = np.zeros(len(pair), np.int64)
+    before[1:] = np.where(pair[1:] == pair[:-1], end[:-1], 0)
+    np.add.at(covered, pair, end - np.maximum(begin, before))
+    return longest, covered
 
 
 def cross_split_pairs(
@@ -159,72 +204,87 @@ def cross_split_pairs(
     evaluation: tuple[str, ...] = ("dev", "test"),
     t: float = 0.7,
     min_chars: int = 8,
-    shard_texts: int = 50000,
-    train_part: int = 25000,
+    shard_texts: int = 20000,
+    train_part: int = 50000,
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct texts (train_class, eval_class, common, longest, covered) alike by ``t``, and every row's class.
 
-    Texts are folded; below ``min_chars`` characters they take no part. Rows of one text and side are one class. Shards hold
-    about ``shard_texts`` texts of similar size, training parts about ``train_part``; a training text goes only to
-    shards whose sizes can match. NULL texts, NULL splits and other splits take no part. Empty input gives no rows.
+    The second frame has (id, side, c, copies): side 0 is train, 1 evaluation, ``c`` the class, which is the smallest id of a side's
+    rows of one folded text. Folded texts below ``min_chars`` characters take no part. A shard has about ``shard_texts`` texts; one
+    that holds more, for a sequence that is frequent even as the rarest of its texts, is cut. A task gets at most about ``train_part``
+    training texts of a shard. NULL texts, NULL splits and other splits take no part. Empty input gives no rows.
     """
+    spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
 
     def folded(batches):
         for b in batches:
-            f = [fold(x) for x in strings(b.column("text"))]
-            _, _, size = gram_sets(f, N)
-            yield pa.record_batch([b.column("id"), b.column("side"), pa.array(f, pa.string()), pa.array(size.astype(np.int32))], names=["id", "side", "folded", "size"])
+            yield pa.record_batch([b.column("id"), b.column("side"), pa.array([fold(x) for x in strings(b.column("text"))], pa.string())], names=["id", "side", "folded"])
 
     side = F.when(F.col(split_col) == train, 0).when(F.col(split_col).isin(*evaluation), 1)
     taken = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), side.alias("side")).where("side IS NOT NULL AND text IS NOT NULL")
-    every = written(taken.mapInArrow(folded, f"id {kind}, side int, folded string, size int").where(F.length("folded") >= min_chars))
-    texts = written(every.groupBy("side", "folded").agg(F.min("id").alias("c"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies")))
-    members = every.join(texts.select("side", "folded", "c"), ["side", "folded"]).select("id", "side", "c")
-    held, learnt = texts.where("side = 1"), texts.where("side = 0")
-    # size bands of equal ratio; each band is cut into shards by hash
-    band = F.floor(F.log("size") / F.log(F.lit(1 / t))).cast("int")
-    held = held.withColumn("band", band)
-    shards = {r["band"]: max(1, -(-r["count"] // shard_texts)) for r in held.groupBy("band").count().collect()}
-    parts = max(1, -(-learnt.count() // train_part))
+    every = written(taken.mapInArrow(folded, f"id {kind}, side int, folded string").where(F.length("folded") >= min_chars))
+    texts = written(every.groupBy("side", "folded").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("copies")))
+    # only texts of several rows are joined: any other row is its own class
+    several = texts.where("copies > 1").select("side", "folded", "c", "copies")
+    members = hot_join(every, several, ["side", "folded"], "copies").select("id", "side", "c", "copies")
+    single = texts.where("copies = 1").select(F.col("c").alias("id"), "side", "c", "copies")
+    members = written(members.unionByName(single))
+    order = sequence_counts(texts.select("folded"), N)
+    held = texts.where("side = 1").count()
+    shards = max(1, -(-held // shard_texts))
+    often = spark.sparkContext.broadcast(order)
+
+    def routed(batches):
+        for b in batches:
+            f = strings(b.column("folded"))
+            _, of, at, size = _rarest(f, often.value, shards, t)
+            pair = np.unique(of.astype(np.int64) << 32 | at)
+            of, at = pair >> 32, (pair & ((1 << 32) - 1)).astype(np.int32)
+            yield pa.record_batch([b.column("side").take(pa.array(of)), pa.array(at), b.column("c").take(pa.array(of)), b.column("folded").take(pa.array(of)), pa.array(size[of].astype(np.int32))], names=["side", "shard", "c", "folded", "size"])
+
+    sent = written(texts.select("side", "c", "folded").mapInArrow(routed, f"side int, shard int, c {kind}, folded string, size int"))
     result = f"train_class {kind}, eval_class {kind}, common int, longest int, covered int"
-    if not shards:
-        return rows.sparkSession.createDataFrame([], result), members
-    cut = F.create_map(*[x for b, n in shards.items() for x in (F.lit(b), F.lit(n))])
-    held = held.withColumn("shard", F.pmod(F.xxhash64("folded"), F.element_at(cut, F.col("band"))).cast("int"))
+    cells = sent.groupBy("shard").agg(F.ceil(F.count_if(F.col("side") == 1) / shard_texts).cast("int").alias("subs"), F.ceil(F.count_if(F.col("side") == 0) / train_part).cast("int").alias("parts"))
+    cells = small(written(cells.where("subs > 0 AND parts > 0")))
+    sent = sent.join(cells, "shard").withColumn("n", F.xxhash64("folded"))
 
     def build(x: pa.Table) -> pa.Table:
         index = TextIndex(strings(x["folded"]))
         p = index.pack()
-        return pa.table({"band": x["band"][:1], "shard": x["shard"][:1], "bwt": pa.array([p["bwt"]], pa.binary()), "owner": pa.array([p["owner"]], pa.binary()), "ids": _one(x["c"]), "size": _one(x["size"]), "texts": _one(x["folded"])})
+        return pa.table({"shard": x["shard"][:1], "sub": x["sub"][:1], "parts": x["parts"][:1], "bwt": pa.array([p["bwt"]], pa.binary()), "owner": pa.array([p["owner"]], pa.binary()), "ids": _one(x["c"]), "size": _one(x["size"]), "texts": _one(x["folded"])})
 
-    index = written(held.select("band", "shard", "c", "size", "folded").groupBy("band", "shard").applyInArrow(build, f"band int, shard int, bwt binary, owner binary, ids array<{kind}>, size array<int>, texts array<string>"))
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # a text meets its own band and the next one to each side, all their shards
-    near = F.filter(F.array(*[F.lit(b) for b in shards]), lambda b: F.abs(b - band) <= 1)
-    stream = learnt.withColumn("part", F.pmod(F.xxhash64("folded"), F.lit(parts)).cast("int")).withColumn("band", F.explode(near))
-    stream = stream.withColumn("shard", F.explode(F.sequence(F.lit(0), F.element_at(cut, F.col("band")) - 1)))
+    cut = sent.where("side = 1").withColumn("sub", F.pmod("n", "subs").cast("int")).select("shard", "sub", "parts", "c", "size", "folded")
+    index = written(cut.groupBy("shard", "sub").applyInArrow(build, f"shard int, sub int, parts int, bwt binary, owner binary, ids array<{kind}>, size array<int>, texts array<string>"))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    stream = sent.where("side = 0").withColumn("part", F.pmod("n", "parts").cast("int")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
 
-    def search(_key, x: pa.Table, y: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("train_class", "eval_class", "common", "longest", "covered")}
+    def search(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = []
+        own, ids = [], []
         if x.num_rows and y.num_rows:
             index = TextIndex(packed={"bwt": x["bwt"][0].as_py(), "owner": x["owner"][0].as_py()})
-            ids, sizes, known = x["ids"][0].as_py(), np.array(x["size"][0].as_py(), np.int64), x["texts"][0].as_py()
+            sizes, known = np.array(x["size"][0].as_py(), np.int64), x["texts"][0].as_py()
             value, of, _ = gram_sets(known, N)
             bitmaps = _signatures(value, of, len(known))
-            texts, own = strings(y["folded"]), y["c"].to_pylist()
+            texts, names, held = strings(y["folded"]), y["c"].combine_chunks(), x["ids"].combine_chunks().flatten()
             for at in range(0, len(texts), 5000):
                 part = texts[at : at + 5000]
-                for p, q, common in _verified(part, known, *_candidates(index, sizes, bitmaps, part, t), t):
-                    longest, covered = overlap_spans(part[p], known[q])
-                    for column, value in zip(out.values(), (own[at + p], ids[q], common, longest, covered)):
-                        column.append(value)
-        kinds = (y.schema.field("c").type, y.schema.field("c").type, pa.int32(), pa.int32(), pa.int32())
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
-
-    keys = ["band", "shard", "part"]
+                found = list(_verified(part, known, *_candidates(index, sizes, bitmaps, part, often.value, shards, key[0].as_py(), t), t))
+                if found:
+                    p, q, common = map(np.array, zip(*found))
+                    own.append(names.take(pa.array(p + at)))
+                    ids.append(held.take(pa.array(q)))
+                    out.append(np.stack([common, *overlap_spans([part[i] for i in p], [known[i] for i in q])], 1))
+        one = lambda x, k: pa.chunked_array(x, k) if x else pa.array([], k)
+        numbers = np.concatenate(out).astype(np.int32) if out else np.zeros((0, 3), np.int32)
+        kind = y.schema.field("c").type
+        return pa.table({"train_class": one(own, kind), "eval_class": one(ids, kind), "common": numbers[:, 0], "longest": numbers[:, 1], "covered": numbers[:, 2]})
+
+    keys = ["shard", "sub", "part"]
     found = index.groupBy(*keys).cogroup(stream.select(*keys, "c", "folded").groupBy(*keys)).applyInArrow(search, result)
-    return found, members
+    # texts may meet in several shards
+    return (found.dropDuplicates(["train_class", "eval_class"]) if shards > 1 else found), members
 
 
 def _verified(texts: list[str], known: list[str], p: np.ndarray, q: np.ndarray, t: float, at_once: int = 100_000):
@@ -249,10 +309,11 @@ def cross_split_overlaps(rows: DataFrame, id_col: str = "row_id", block_rows: in
     that no join key holds more than about ``block_rows`` rows of either side, however many copies a text has.
     """
     pairs, members = cross_split_pairs(rows, id_col, **params)
-    blocks = members.groupBy("side", "c").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    members = members.withColumn("blocks", F.ceil(F.col("copies") / block_rows).cast("int"))
+    blocks = members.where("id = c").select("side", "c", "blocks")
     # most classes are one block, which needs no hash
     cut = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
-    block = members.join(blocks, ["side", "c"]).withColumn("block", cut)
+    block = members.withColumn("block", cut)
     sides = [("train_class", "train_block", "x"), ("eval_class", "eval_block", "y")]
     for side, (c, at, _) in enumerate(sides):
         own = blocks.where(F.col("side") == side).select(F.col("c").alias(c), "blocks")
@@ -266,6 +327,20 @@ def cross_split_overlaps(rows: DataFrame, id_col: str = "row_id", block_rows: in
     return left.join(right, key).select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"), "longest", "covered")
 
 
+def overlap_members(rows: DataFrame, id_col: str = "row_id", **params) -> DataFrame:
+    """(row_id, side, class_id, copies, links): every row that takes part, its text's class on its side, the number of its copies there,
+    and how many different texts of the other side are alike."""
+    pairs, members = cross_split_pairs(rows, id_col, **params)
+    pairs = written(pairs)
+    ends = [pairs.select(F.lit(s).alias("side"), F.col(f"{n}_class").alias("c")) for s, n in enumerate(("train", "eval"))]
+    links = ends[0].unionByName(ends[1]).groupBy("side", "c").agg(F.count(F.lit(1)).alias("links"))
+    counted = members.where("id = c").select("side", "c", "copies").join(links, ["side", "c"])
+    linked = hot_join(members.drop("copies"), counted, ["side", "c"], "copies")
+    lone = members.join(small(written(counted.select("side", "c"))), ["side", "c"], "left_anti").withColumn("links", F.lit(0).cast("long"))
+    out = linked.unionByName(lone)
+    return out.select(F.col("id").alias("row_id"), F.when(F.col("side") == 0, "train").otherwise("evaluation").alias("side"), F.col("c").alias("class_id"), "copies", "links")
+
+
 def overlap_report(rows: DataFrame, id_col: str = "row_id", split_col: str = "split", source_col: str = "source", label_col: str = "label", **params) -> DataFrame:
     """Per evaluation split and source: rows, rows that also stand in train, and of those how many with another label there.
 

@@ -191,7 +191,40 @@ def test_text_index_counts_and_spans():
         for c in reversed(pattern):
             low, high = again.back(np.array([ord(c)], np.uint32), low, high)
         assert max(0, int(high[0] - low[0])) == sum(t.startswith(pattern, i) for t in texts for i in range(len(t)))
-    assert split_overlap.overlap_spans("xabcyabcd", "abcd--abcy") == (4, 8)
+    longest, covered = split_overlap.overlap_spans(["xabcyabcd", "", "ab", "zz", "aaaa"], ["abcd--abcy", "x", "", "yy", "aab"])
+    assert longest.tolist() == [4, 0, 0, 0, 2] and covered.tolist() == [8, 0, 0, 0, 4]
+
+
+def test_maximal_matches_equal_brute_force():
+    import random
+
+    rng = random.Random(5)
+    left, right = (["".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(300)] for _ in range(2))
+    got: dict = {}
+    for p, b, e in zip(*(x.tolist() for x in split_overlap.maximal_matches(left, right))):
+        got.setdefault(p, set()).add((b, e))
+    for p, (x, y) in enumerate(zip(left, right)):
+        inside = {(b, e) for b in range(len(x)) for e in range(b + 2, len(x) + 1) if x[b:e] in y}
+        assert got.get(p, set()) == {(b, e) for b, e in inside if not any((c, f) != (b, e) and c <= b and e <= f for c, f in inside)}
+
+
+def test_cross_split_over_many_shards(spark):
+    import random
+
+    rng = random.Random(2)
+    base = ["".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉") for _ in range(rng.randint(10, 24))) for _ in range(60)]
+    texts = [b if k == 0 else b[:3] + "新" + b[3:] if k == 1 else b[:-1] for b in base for k in range(3)]
+    rows = [(i, t, ("train", "dev", "test", "train")[rng.randrange(4)]) for i, t in enumerate(texts)] + [(1000 + i, base[0], "train") for i in range(30)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, split string")
+    grams = {i: {t[k : k + 2] for k in range(len(t) - 1)} for i, t, _ in rows}
+    side = {i: s == "train" for i, _, s in rows}
+    want = {(a, b) for a in grams for b in grams if a < b and side[a] != side[b] and len(grams[a] & grams[b]) >= 0.7 * len(grams[a] | grams[b])}
+    for shard, part in ((20000, 50000), (7, 5)):
+        got = [(r["row_a"], r["row_b"]) for r in split_overlap.cross_split_overlaps(df, shard_texts=shard, train_part=part).collect()]
+        assert set(got) == want and len(got) == len(want)
+    members = {r["row_id"]: r for r in split_overlap.overlap_members(df).collect()}
+    assert members.keys() == side.keys() and members[1005]["copies"] >= 30
+    assert all(bool(members[i]["links"]) == any(i in p for p in want) for i in side)
 
 
 def test_neighbours(spark):
