@@ -5,7 +5,8 @@ scaled back, so that the squared projected distance over the squared distance is
 degrees of freedom. A kd-tree over the projections has its upper levels fitted on a bounded sample; they cut the collection into
 cells. Each cell holds its own kd-tree of small leaves. A query takes leaves by projected distance and verifies their vectors
 until the chi-square test says that a better neighbour further out is improbable. Queries first search their own cell; what the
-test leaves open is sent on to other cells with the distance reached so far, so no cell's data is ever sent around.
+test leaves open is sent on to other cells with the distance reached so far. A cell's data is sent once, and again only for each
+further ``4 * cell_rows`` queries that other cells send it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewren.session import written
+from sedgewren.llm.common import hot_join
+from sedgewren.session import small, written
 
 LEAF = 192
 
@@ -64,9 +66,32 @@ class Cells:
             node = 2 * node + 1 + right
         return node - ((1 << self.depth) - 1)
 
-    def distances(self, z: np.ndarray) -> np.ndarray:
-        """Squared projected distances from each query to each cell's box."""
-        return box_distances(z, self.low, self.high)
+    def near(self, z: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of every cell whose box lies within a query's squared projected distance ``reach``.
+
+        Queries go down the tree together; a branch takes only those that it may concern.
+        """
+        out_q, out_c = [], []
+        open_ = [(0, 0, np.arange(len(z)), np.zeros(z.shape, np.float32), np.zeros(len(z), np.float32))]
+        while open_:
+            node, level, q, off, total = open_.pop()
+            if not len(q):
+                continue
+            if level == self.depth:
+                out_q.append(q)
+                out_c.append(np.full(len(q), node - ((1 << self.depth) - 1)))
+                continue
+            a = self.axis[node]
+            gap = z[q, a] - self.cut[node]
+            for child, beyond in ((2 * node + 1, gap >= 0), (2 * node + 2, gap < 0)):
+                # on the other side of the plane the distance along its direction is that to the plane
+                side = np.where(beyond, gap * gap, off[:, a])
+                far = total - off[:, a] + side
+                ok = far <= reach[q]
+                held = off[ok]
+                held[:, a] = side[ok]
+                open_.append((child, level + 1, q[ok], held, far[ok]))
+        return (np.concatenate(out_q), np.concatenate(out_c)) if out_q else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def box_distances(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -184,15 +209,16 @@ def nearest(
     m: int = 16,
     confidence: float = 0.1,
     cell_rows: int = 32768,
-    sample_rows: int = 20000,
+    sample_per_cell: int = 256,
+    most_sample: int = 2_000_000,
     seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): for each row with a usable vector its ``k`` most similar other rows.
 
     Rows with a NULL, all-zero, non-finite or wrongly sized vector are left out. Copies of one vector are searched once; equal
     similarities are ranked by id. ``confidence`` is the chi-square stopping probability: a query stops when a better neighbour
-    would lie as near in projection only with that probability. The upper planes are fitted on a sample of at most about
-    ``sample_rows`` vectors; every vector is indexed and searched. Fewer than two usable rows give no rows.
+    would lie as near in projection only with that probability. The upper planes are fitted on about ``sample_per_cell`` projected
+    vectors for each cell, at most about ``most_sample``; every vector is indexed and searched. Fewer than two usable rows give no rows.
     """
     spark = rows.sparkSession
     project = directions(dim, m, seed)
@@ -207,15 +233,24 @@ def nearest(
 
     vectors = rows.select(id_col, vector_col).mapInArrow(usable, f"id {kind}, v binary")
     # classes of equal vectors: the k + 1 smallest ids stand for all members
-    position = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    member = written(vectors.select("id", F.xxhash64("v").alias("h")).withColumn("place", position))
+    member = written(vectors.select("id", F.xxhash64("v").alias("h")))
+    classes = member.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     count = member.count()
     if count == 0:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
     depth = max(0, int(np.ceil(np.log2(count / cell_rows))))
-    share = min(1.0, sample_rows / count)
-    picked = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("v").limit(2 * sample_rows).toArrow() if depth else None
-    cells = Cells(_floats(picked["v"], dim) @ project if picked is not None else np.zeros((0, m), np.float32), depth)
+    sample = min(most_sample, sample_per_cell << depth)
+
+    def projected(batches):
+        for b in batches:
+            z = _floats(b.column(0), dim) @ project
+            yield pa.record_batch([pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * m), len(z), [None, pa.py_buffer(np.ascontiguousarray(z))]).cast(pa.binary())], names=["z"])
+
+    picked = np.zeros((0, m), np.float32)
+    if depth:
+        some = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000_000)) < F.lit(int(min(1.0, sample / count) * 1_000_000_000))).select("v")
+        picked = _floats(some.mapInArrow(projected, "z binary").limit(2 * sample).toArrow()["z"], m)
+    cells = Cells(picked, depth)
     shared = spark.sparkContext.broadcast((project, cells))
 
     def route(batches):
@@ -242,10 +277,9 @@ def nearest(
         line = np.nonzero(ok)[0]
         hits = (h[line], ours[found[ok]], s[ok])
         # what the test leaves open: other cells near enough for the k-th distance reached
-        reach = quantile * np.maximum(2 - 2 * s[:, -1], 1e-6)
-        far = c.distances(z) <= reach[:, None]
-        far[:, int(t["cell"][0].as_py())] = False
-        q, to = np.nonzero(far)
+        q, to = c.near(z, quantile * np.maximum(2 - 2 * s[:, -1], 1e-6))
+        elsewhere = to != int(t["cell"][0].as_py())
+        q, to = q[elsewhere], to[elsewhere]
         size = len(line) + len(q)
         return pa.table(
             {
@@ -271,19 +305,24 @@ def nearest(
 
     hits = first.where("cell < 0").select("h", "other", "s")
     if depth:
-        # no task gets more than a bounded part of a cell's queries
-        parts = -(-count // (4 * cell_rows))
-        asked = first.where("cell >= 0").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
-        data = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        # no task gets more than a bounded part of a cell's queries; a cell is sent once for each part
+        asked = first.where("cell >= 0")
+        parts = written(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * cell_rows)).cast("int").alias("parts")))
+        parts = small(parts)
+        asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("h"), "parts").cast("int"))
+        data = placed.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         hits = hits.unionByName(data.select("cell", "part", "h", "v").groupBy("cell", "part").cogroup(asked.select("cell", "part", "h", "v", "s").groupBy("cell", "part")).applyInArrow(visit, hit))
     by_class = Window.partitionBy("h").orderBy(F.desc("s"), "other")
     best = hits.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).select("h", "other", "s")
-    few = member.where(F.col("place") <= k + 1).select("h", "id")
+    few = member.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("place") <= k + 1).select("h", "id")
     around = best.join(few.select(F.col("h").alias("other"), F.col("id").alias("n")), "other").select("h", "n", F.col("s").cast("double").alias("s"))
-    same = few.join(member.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "h").select("h", F.col("id").alias("n"), F.lit(1.0).alias("s"))
+    same = few.join(classes.where("c > 1").select("h"), "h").select("h", F.col("id").alias("n"), F.lit(1.0).alias("s"))
     lists = around.unionByName(same).withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("s"), "n"))).where(F.col("r") <= 2 * k + 1)
-    ranked = member.select("h", "id").join(lists, "h").where("id <> n").withColumn("rank", F.row_number().over(Window.partitionBy("h", "id").orderBy(F.desc("s"), "n")))
-    return ranked.where(F.col("rank") <= k).select("id", F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
+    # one list for each class, in order; a member takes the first k that are not itself
+    near = lists.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("r", "n", "s"))).alias("near")).join(classes, "h")
+    own = hot_join(member, written(near), ["h"], "c")
+    ranked = own.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k)).alias("p", "x"))
+    return ranked.select("id", F.col("x.n").alias("neighbour"), F.col("x.s").alias("similarity"), (F.col("p") + 1).alias("rank"))
 
 
 def _floats(column, dim: int) -> np.ndarray:

@@ -251,8 +251,32 @@ def test_neighbours_recall_over_cells(spark):
     s = u @ u.T
     np.fill_diagonal(s, -9)
     want = {(f"{i:04d}", f"{j:04d}") for i, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
-    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, cell_rows=300).collect()}
-    assert len(got) == 6000 and len(got & want) / len(want) >= 0.9
+    for rows in (300, 40):  # 4 cells, and 32 cells with several parts of queries each
+        got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, cell_rows=rows).collect()}
+        assert len(got) == 6000 and len(got & want) / len(want) >= 0.9
+
+
+def test_cells_near_equals_boxes():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    cells = neighbours.Cells(rng.standard_normal((2000, 6)).astype(np.float32), 6)
+    z, reach = rng.standard_normal((300, 6)).astype(np.float32), (rng.random(300) * 4).astype(np.float32)
+    want = neighbours.box_distances(z, cells.low, cells.high) <= reach[:, None]
+    q, c = cells.near(z, reach)
+    got = np.zeros(want.shape, bool)
+    got[q, c] = True
+    assert (got == want).mean() > 0.9999 and np.bincount(cells.of(rng.standard_normal((20000, 6)).astype(np.float32)), minlength=64).max() < 2000
+
+
+def test_neighbours_of_many_equal_vectors(spark):
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(3000)] + [(9000 + i, [0.9, 0.1 * i, 0.0, 0.1]) for i in range(6)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id int, dense_vector array<float>"), k=3, dim=4, m=4).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    assert len(near) == 3006 and near[2500] == {1: 0, 2: 1, 3: 2} and near[1] == {1: 0, 2: 2, 3: 3}
+    assert near[9000][1] == 9001 and all(len(v) == 3 for v in near.values())
 
 
 @pytest.mark.parametrize("capacity", [10, 100])
