@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewren.llm.common import fold, gram_sets, histogram, mixed_hash, strings
+from sedgewren.llm.common import fold, gram_sets, histogram, hot_join, mixed_hash, strings
 from sedgewren.session import small, written
 
 ORDER_BITS = 20
@@ -251,7 +251,8 @@ def _classes(rows: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataF
     order = sequence_counts(folded.select("folded"), n)
     keyed = folded.select("id", F.xxhash64("folded").alias("h"), F.hash("folded").alias("g"))
     counted = keyed.groupBy("h", "g").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    members = written(keyed.join(counted, ["h", "g"]).select("id", "class_id", "copies"))
+    several = hot_join(keyed, written(counted.where("copies > 1")), ["h", "g"], "copies").select("id", "class_id", "copies")
+    members = written(several.unionByName(counted.where("copies = 1").select(F.col("class_id").alias("id"), "class_id", "copies")))
     copies = small(members.where("id <> class_id").select("id"))
     texts = folded.join(copies, "id", "left_anti").select(F.col("id").alias("class_id"), "folded")
     return members, texts, order

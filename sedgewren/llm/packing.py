@@ -144,14 +144,16 @@ def packed(sized: DataFrame, capacity: int, kind: str, depth: int = 3) -> DataFr
         per.setdefault(v, []).append((lo, k, c))
     rows = [(v, [x[0] for x in a], [x[1] for x in a], [x[2] for x in a]) for v, a in per.items()]
     table = spark.createDataFrame(pa.table({"tokens": pa.array([r[0] for r in rows], pa.int64()), "lo": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "each": pa.array([r[2] for r in rows], pa.list_(pa.int64())), "at": pa.array([r[3] for r in rows], pa.list_(pa.int64()))}))
-    numbered = _numbered(cut.where("tokens > 0")).join(F.broadcast(table), "tokens")
-    found = F.size(F.filter("lo", lambda x: x <= F.col("n"))) - 1
+    numbered = _numbered(cut.where("tokens > 0"), max(64, -(-max(counts.values(), default=0) // 500_000))).join(F.broadcast(table), "tokens")
+    steps = [1 << k for k in reversed(range(max((len(x) for _, x, _, _ in rows), default=1).bit_length()))]
+    further = lambda at, p: F.when((at + p < F.size("lo")) & (F.get("lo", at + p) <= F.col("n")), at + p).otherwise(at)
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
     placed = numbered.withColumn("f", found).withColumn("container", F.expr("at[f] + (n - lo[f]) div each[f]"))
     whole = placed.select("container", "key", "piece", "pieces", "tokens").unionByName(cut.where("tokens <= 0").select(F.lit(-1).cast("bigint").alias("container"), "key", "piece", "pieces", "tokens"))
     return whole.select(F.lit(kind).alias("container_kind"), F.lit(capacity).alias("capacity"), "container", "key", "piece", "pieces", "tokens")
 
 
-def _numbered(pieces: DataFrame, spread: int = 64) -> DataFrame:
+def _numbered(pieces: DataFrame, spread: int) -> DataFrame:
     """Number the pieces of each length from 0 without bringing one length into one task.
 
     Pieces of a length are spread over ``spread`` parts by key; parts are numbered each, after what earlier parts hold.

@@ -4,8 +4,8 @@ Two averaged perceptrons are trained. One judges lines: page numbers and running
 often the same masked line recurs in the whole collection. The other edits characters: keep, replace (a misread character or letter
 group), delete (a break sign at a line end), join (a line break inside a paragraph) and insert (a space in place of a break between
 Latin words). It learns from pages made of the collection's own clean text by misreading, breaking and wrapping it; its strongest
-features compare how often the characters around a place occur in all documents with and without the edit. These counts are kept
-in one histogram of fixed size.
+features compare how often the characters around a place occur in all documents with and without the edit. Sequences, words and line
+forms are counted in tables of their own, of fixed sizes, and what a bucket holds in the median is taken off again.
 """
 
 from __future__ import annotations
@@ -38,9 +38,11 @@ for _p in MISREAD:
         RIGHT.setdefault(_p[1], []).append(_p[0])
 GROUPS = [tuple(x.split()) for x in LETTERS.split(",")]
 
-BITS = 21
-#: Occurrences in the whole collection from which a word may stand in another's place.
-LEAST_WORD = 20
+BITS = 22
+#: The table holds three-character sequences in its first half, Latin words and line forms in a quarter each.
+SEQUENCES, WORDS, FORMS = (0, 21), (1 << 21, 20), ((1 << 21) + (1 << 20), 20)
+#: Share of all Latin words from which on a word may stand in another's place.
+LEAST_WORD = 2e-5
 WRONG_CHAR = re.compile("[" + "".join(sorted(WRONG)) + "]")
 WORD = re.compile(r"[A-Za-zÀ-ÿ0-9]*[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9]*")
 IN_NUMBER = re.compile(r"(?<=[0-9])[OoIl](?=[0-9年月日元号%.,])|(?<=[0-9,.])[OoIl](?=[0-9])")
@@ -53,13 +55,13 @@ ENDED = re.compile(r"[。！？!?；;：:.】》）)”]\s*$")
 STARTS = re.compile(r"^\s*(?:【|第[一二三四五六七八九十百零0-9]+[条章编节]|Article\s|[0-9]{1,2}[.．、]\s?\D|（[一二三四五六七八九十]）|[一二三四五六七八九十]、|被告[：:])")
 
 
-def _h(text: str, salt: int) -> int:
-    return (zlib.crc32(text.encode("utf-8", "surrogatepass"), salt * 0x9E3779B1 & 0xFFFFFFFF) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS)
+def _h(text: str, salt: int, part: tuple[int, int]) -> int:
+    return part[0] + ((zlib.crc32(text.encode("utf-8", "surrogatepass"), salt * 0x9E3779B1 & 0xFFFFFFFF) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - part[1]))
 
 
 def _three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     v = (a.astype(np.uint64) << np.uint64(42)) | (b.astype(np.uint64) << np.uint64(21)) | c.astype(np.uint64)
-    return (mixed_hash(v, 1) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed_hash(v, 1) >> np.uint64(64 - SEQUENCES[1])).astype(np.int64)
 
 
 _ALL = (1 << 64) - 1
@@ -70,7 +72,7 @@ def _three_of(s: str) -> int:
     x = ((ord(s[0]) << 42 | ord(s[1]) << 21 | ord(s[2])) ^ 0x2545F4914F6CDD1D) * 0x9E3779B97F4A7C15 & _ALL
     x ^= x >> 29
     x = x * 0xBF58476D1CE4E5B9 & _ALL
-    return (x ^ x >> 32) >> (64 - BITS)
+    return (x ^ x >> 32) >> (64 - SEQUENCES[1])
 
 
 _LINE_FORM = re.compile(r"[0-9０-９]+|[ 　\t｜|…·.]+")
@@ -103,10 +105,10 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
                         f = line_form(line)
                         forms[f] = forms.get(f, 0) + 1
             for w, k in extra.items():
-                out[0, _h(w, 2)] += k
-                out[0, _h(w, 5)] += k
+                out[0, _h(w, 2, WORDS)] += k
+                out[0, _h(w, 5, WORDS)] += k
             for f, k in forms.items():
-                out[0, _h(f, 3)] += k
+                out[0, _h(f, 3, FORMS)] += k
         return out
 
     return np.minimum(histogram(texts, count, BITS)[0], (1 << 31) - 1).astype(np.int32)
@@ -149,13 +151,20 @@ class PageModel:
 
     def __post_init__(self):
         self._words: dict[str, int] = {}
+        # what half of the buckets hold without any entry of note, to be taken off each count
+        tables = [self.counts[a : a + (1 << bits)] for a, bits in (SEQUENCES, WORDS, FORMS)]
+        self.load = [int(np.median(x)) for x in tables]
+        self.least_word = max(5.0, LEAST_WORD * tables[1].sum(dtype=np.int64) / 2)
+
+    def form(self, line: str) -> int:
+        return max(0, self.counts.item(_h(line_form(line), 3, FORMS)) - self.load[2])
 
     def word(self, w: str) -> int:
         n = self._words.get(w)
         if n is None:
             if len(self._words) > 200_000:
                 self._words.clear()
-            n = self._words[w] = min(self.counts.item(_h(w, 2)), self.counts.item(_h(w, 5)))
+            n = self._words[w] = max(0, min(self.counts.item(_h(w, 2, WORDS)), self.counts.item(_h(w, 5, WORDS))) - self.load[1])
         return n
 
     def ratios(self, text: str, i: int, c: str) -> list[float]:
@@ -166,7 +175,7 @@ class PageModel:
             if len(left) + len(right) < 2:
                 out.append(0.0)
                 continue
-            edit, stay = (self.counts.item(_three_of(left + y + right)) for y in (c, text[i]))
+            edit, stay = (max(0, self.counts.item(_three_of(left + y + right)) - self.load[0]) for y in (c, text[i]))
             out.append(math.log((edit + 0.5) / (stay + 0.5)))
         return out
 
@@ -225,7 +234,7 @@ def _line_features(m: PageModel, lines: list[str], k: int, stem: str) -> list[st
         return None
     before, after = next((x for x in reversed(lines[:k]) if x.strip()), ""), next((x for x in lines[k + 1 :] if x.strip()), "")
     table = bool(AMOUNT.match(before.strip()) or AMOUNT.match(after.strip()))
-    n = int(m.counts[_h(line_form(line), 3)])
+    n = m.form(line)
     seen = _bucket(math.log(n + 1))
     title = bool(HEAD_START.match(core))
     book = core[:3] == stem[:3] or bool(re.search(r"(?:选编|汇编|文集|读本|手册|教程|案例|ORDINANCE|ordinance)", core))
@@ -311,7 +320,7 @@ def best_word(m: PageModel, w: str) -> str | None:
             _best.clear()
         options = [(m.word(c), c, g) for c, g in word_variants(w)] if len(w) >= 2 else []
         top = max(options, default=None)
-        _best[key] = top[1] if top and top[0] >= max(LEAST_WORD, 5 * m.word(w)) and m.edits.best(_word_features(m, w, top[1], top[2])) == "replace" else None
+        _best[key] = top[1] if top and top[0] >= max(m.least_word, 5 * m.word(w)) and m.edits.best(_word_features(m, w, top[1], top[2])) == "replace" else None
     return _best[key]
 
 
@@ -344,7 +353,7 @@ def fit_page_model(counts: np.ndarray, clean: list[str], pages: list[tuple[str,
         body = [x for x in t.replace("\r", "").split("\n") if x.strip()]
         flat = " ".join(body)
         for w in WORD.findall(flat):
-            if w.isalpha() and m.word(w) >= 50 and rng.random() < 0.1:
+            if w.isalpha() and m.word(w) >= 2.5 * m.least_word and rng.random() < 0.1:
                 options = [w.replace(g[1], g[0], 1) for g in GROUPS if g[1] in w]
                 if options:
                     bad = options[int(rng.integers(len(options)))]
@@ -357,7 +366,7 @@ def fit_page_model(counts: np.ndarray, clean: list[str], pages: list[tuple[str,
                 top = max(back, default=None)
                 if top and m.word(w) > 0.2 * top[0]:
                     ex.append((_word_features(m, w, top[1], top[2]), "keep"))
-            if w.isalpha() and len(w) >= 6 and rng.random() < (0.1 if m.word(w) >= 20 else 0.5):
+            if w.isalpha() and len(w) >= 6 and rng.random() < (0.1 if m.word(w) >= m.least_word else 0.5):
                 k = int(rng.integers(2, len(w) - 1))
                 ex.append((_break_features(m, w[:k], "-‐¬\u00ad"[int(rng.integers(4))], w[k:], 1), "delete"))
         for x in re.finditer(r"\b([A-Za-z]{2,})-([a-z]{2,})\b", flat):
@@ -390,7 +399,7 @@ def fit_page_model(counts: np.ndarray, clean: list[str], pages: list[tuple[str,
             elif attached or HEAD_START.match(s) and len(s) <= 40 or UPPER.match(s):
                 y = "page"
             else:
-                y = "page" if any(x.startswith("bookTrue") for x in f) and int(counts[_h(line_form(s), 3)]) >= 3 else "text"
+                y = "page" if any(x.startswith("bookTrue") for x in f) and m.form(s) >= 3 else "text"
             if y:
                 rows.append((f, y))
     for t in clean:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedgewren.session import small, written
+
 # Section headings of a case, which are never furniture.
 HEADINGS = ["【案件基本信息】", "【基本案情】", "【案件焦点】", "【法院裁判要旨】", "【法官后语】"]
 
@@ -55,15 +57,17 @@ def repeated_lines(
     Documents with NULL source or text have no repeated line. Empty input gives no rows; other columns are ignored.
     """
     docs = docs.select(id_col, text_col, source_col)
-    lines = lines_of(docs, id_col, text_col, source_col, min_chars)
+    lines = written(lines_of(docs, id_col, text_col, source_col, min_chars))  # texts are split and hashed once
     bitmaps = line_bitmaps(lines)
     sizes = docs.where(F.col(source_col).isNotNull()).groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("docs"))
     counted = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("n")).where(F.col("n") >= min_docs)
-    kept = counted.join(sizes, "source").where(F.col("n") >= F.col("docs") * F.lit(min_share)).select("source", "k1", "k2", "n")
-    lookup = bitmaps.join(kept, ["source", "k1", "k2"]).select("source", "k1", "k2", "word", "bits")
+    # a source has at most as many such lines as a document has on average over ``min_share``; they are counted before they are sent
+    # to all tasks, so that the occurrences of one line are not brought together
+    kept = small(written(counted.join(sizes, "source").where(F.col("n") >= F.col("docs") * F.lit(min_share)).select("source", "k1", "k2")))
+    lookup = bitmaps.join(kept, ["source", "k1", "k2"], "left_semi")
     return (
-        lines.withColumn("word", F.shiftright("id", 6))
-        .join(kept.select("source", "k1", "k2"), ["source", "k1", "k2"], "left_semi")
+        lines.join(kept, ["source", "k1", "k2"], "left_semi")
+        .withColumn("word", F.shiftright("id", 6))
         .join(lookup, ["source", "k1", "k2", "word"])
         .where(F.expr("(shiftrightunsigned(bits, cast(id & 63 AS INT)) & 1L) = 1L"))
         .select("id", "line_no")
