@@ -41,7 +41,7 @@ GROUPS = [tuple(x.split()) for x in LETTERS.split(",")]
 BITS = 22
 #: The table holds three-character sequences in its first half, Latin words and line forms in a quarter each.
 SEQUENCES, WORDS, FORMS = (0, 21), (1 << 21, 20), ((1 << 21) + (1 << 20), 20)
-#: Share of all Latin words from which on a word may stand in another's place.
+#: Share of all Latin words from which on a word may stand in another's place; 20 occurrences are needed in any case.
 LEAST_WORD = 2e-5
 WRONG_CHAR = re.compile("[" + "".join(sorted(WRONG)) + "]")
 WORD = re.compile(r"[A-Za-zÀ-ÿ0-9]*[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ0-9]*")
@@ -154,7 +154,7 @@ class PageModel:
         # what half of the buckets hold without any entry of note, to be taken off each count
         tables = [self.counts[a : a + (1 << bits)] for a, bits in (SEQUENCES, WORDS, FORMS)]
         self.load = [int(np.median(x)) for x in tables]
-        self.least_word = max(5.0, LEAST_WORD * tables[1].sum(dtype=np.int64) / 2)
+        self.least_word = max(20.0, LEAST_WORD * tables[1].sum(dtype=np.int64) / 2)
 
     def form(self, line: str) -> int:
         return max(0, self.counts.item(_h(line_form(line), 3, FORMS)) - self.load[2])
