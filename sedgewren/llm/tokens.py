@@ -7,7 +7,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -24,8 +24,10 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of each whole text; NULL and '' have 0."""
+def token_count(text: Column, path: str | None = None) -> Column:
+    """Tokens of each whole text; NULL and '' have 0. The vocabulary is ``path``, else ``spark.sedgewren.vocabulary``, else the default."""
+    spark = SparkSession.getActiveSession()
+    path = path or (spark.conf.get("spark.sedgewren.vocabulary", VOCABULARY) if spark else VOCABULARY)
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
