@@ -139,45 +139,43 @@ def maximal_matches(left: list[str], right: list[str]) -> tuple[np.ndarray, np.n
     """(pair, begin, end) of every maximal match of ``N`` or more characters of each left text in the right text of its pair.
 
     Backward search in an index of the right texts, all pairs at once: from an end the match is extended to the left as far as it
-    occurs. The next match has to hold the character at which that ended; its end is found by bisection, as what occurs still
-    occurs when it is shortened.
+    occurs. The next match has to hold the character at which that ended; it reaches as far to the right as backward search
+    of the reversed text in an index of the reversed right texts goes. Steps are in proportion to the lengths of the matches.
     """
-    index = TextIndex(right, apart=True)
     points, offsets = code_points(left)
-    base, mark = offsets[:-1], np.arange(len(left)).astype(np.uint64) << np.uint64(21)
-
-    def reach(who: np.ndarray, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """How far to the left, down to ``stop``, the text before ``end`` occurs."""
-        begin, low, high, live = end.copy(), np.zeros(len(who), np.int64), np.full(len(who), index.n, np.int64), np.flatnonzero(end > stop)
+    base, length = offsets[:-1], np.diff(offsets)
+    mark = np.arange(len(left)).astype(np.uint64) << np.uint64(21)
+    ahead, behind = TextIndex([x[::-1] for x in right], apart=True), TextIndex(right, apart=True)
+
+    def reach(index: TextIndex, who: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+        """Where the text of each of ``who`` stops to occur when it is read from ``at`` to the left (-1) or to the right (1)."""
+        place, low, high = at.copy(), np.zeros(len(who), np.int64), np.full(len(who), index.n, np.int64)
+        more = lambda x: place[x] > 0 if step < 0 else place[x] < length[who[x]]
+        live = np.arange(len(who))
+        live = live[more(live)]
         while len(live):
-            letter = points[base[who[live]] + begin[live] - 1].astype(np.uint64) | mark[who[live]]
+            letter = points[base[who[live]] + place[live] - (step < 0)].astype(np.uint64) | mark[who[live]]
             lo, hi = index.back(letter, low[live], high[live])
-            live, lo, hi = live[hi > lo], lo[hi > lo], hi[hi > lo]
-            begin[live] -= 1
+            ok = hi > lo
+            live, lo, hi = live[ok], lo[ok], hi[ok]
+            place[live] += step
             low[live], high[live] = lo, hi
-            live = live[begin[live] > stop[live]]
-        return begin
+            live = live[more(live)]
+        return place
 
     out = ([], [], [])
-    who, end = np.arange(len(left)), np.diff(offsets)
+    who, end = np.flatnonzero(length), length[length > 0]
     while len(who):
-        begin = reach(who, end, np.zeros(len(who), np.int64))
+        begin = reach(behind, who, end, -1)
         good = end - begin >= N
         for column, x in zip(out, (who[good], begin[good], end[good])):
             column.append(x)
         go = begin > 0
-        who, begin, end = who[go], begin[go], end[go]
-        # the last end at which the text from begin - 1 on occurs; below begin it does not occur at all
-        low, high = begin - 1, np.maximum(end - 1, begin - 1)
-        while (low < high).any():
-            at = np.flatnonzero(low < high)
-            mid = (low[at] + high[at] + 1) // 2
-            ok = reach(who[at], mid, begin[at] - 1) == begin[at] - 1
-            low[at] = np.where(ok, mid, low[at])
-            high[at] = np.where(ok, high[at], mid - 1)
-        end = low
-        more = end > 0
-        who, end = who[more], end[more]
+        who, begin = who[go], begin[go]
+        # the character before does not occur in front of this match: the next one ends as far right as it goes from there
+        end = reach(ahead, who, begin - 1, 1)
+        end = np.where(end < begin, begin - 1, end)
+        who, end = who[end > 0], end[end > 0]
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
 
