@@ -69,7 +69,10 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A frame in fewer pieces than there are cores is dealt out to all of them before costly work; others stay as they are."""
+    """A frame in fewer pieces than there are cores is dealt out to all of them before costly work; others stay as they are.
+
+    For scans and narrow plans over them: counting the pieces of a plan with a shuffle would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
