@@ -12,10 +12,12 @@ corpus counts of what follows the same characters elsewhere.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -225,12 +227,19 @@ def _shingles(text: str) -> set[str]:
 
 
 def _led(block: list[str], similarity: float):
-    """(clause, leader, similarity) of a block in order: the first clause alike to no leader is one itself."""
+    """(clause, leader, similarity) of a block in order: the first clause alike to no leader is one itself.
+
+    A leader alike to a clause lacks at most ``spare`` of its shingles, so it is found under one of any ``spare + 1`` of them; the
+    seldomest are looked up.
+    """
     leaders: list[tuple[set[str], str]] = []
+    held: dict[str, list[int]] = {}
     for c in block:
         mine = _shingles(c)
+        spare = len(mine) - math.ceil(similarity * len(mine) - 1e-9)
         best = (0.0, "")
-        for s, name in leaders:
+        for i in set().union(*sorted((held.get(g, ()) for g in mine), key=len)[: spare + 1]):
+            s, name = leaders[i]
             if min(len(s), len(mine)) < similarity * max(len(s), len(mine)):
                 continue
             both = len(s & mine)
@@ -238,6 +247,8 @@ def _led(block: list[str], similarity: float):
         if best[0] >= similarity:
             yield c, best[1], best[0]
         else:
+            for g in mine:
+                held.setdefault(g, []).append(len(leaders))
             leaders.append((mine, c))
 
 
@@ -245,8 +256,8 @@ def clause_clusters(found: DataFrame, similarity: float = 0.8, block: int = 1000
     """(clause, leader): the leader of each clause's verified cluster; a clause alike to no other is left out.
 
     In every MinHash band the clauses are taken by their number of questions, and each joins the leader it is most alike to, or leads.
-    Bands of more than ``block`` clauses are cut into blocks by hash, and the leaders of the blocks are then compared again
-    until no band is cut or nothing joins any more.
+    Bands of more than ``block`` clauses are cut into blocks by hash. The leaders of the blocks are cut into blocks again, and every
+    pair of these is compared, so that any two leaders of a band meet. Members go with their leader to the greatest one.
     """
 
     def band(batches):
@@ -275,41 +286,88 @@ def clause_clusters(found: DataFrame, similarity: float = 0.8, block: int = 1000
         yield _edges(rows)
 
     left = written(found.select("clause", "prompts").mapInArrow(band, "band long, clause string, prompts long"))
-    edges, turn = None, 0
-    while True:
-        turn += 1  # blocks are cut anew each time, so that other leaders meet
-        size = written(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-        cut = left.join(small(size), "band").withColumn("block", F.pmod(F.xxhash64("clause", F.lit(turn)), "blocks").cast("int"))
+    edges = None
+    for turn in (1, 2):
+        size = written(left.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("long")))
+        cut = left.join(small(size), "band").withColumn("block", F.pmod(F.xxhash64("clause", F.lit(turn)), "blocks"))
+        if turn == 2:  # a block goes to its pairs with all other ones
+            cut = cut.withColumn("other", F.explode(F.expr("IF(blocks > 1, sequence(0L, blocks - 1), array(block))"))).where("blocks = 1 OR other <> block")
+            cut = cut.withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
         ordered = cut.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "block").sortWithinPartitions("band", "block", F.desc("prompts"), "clause").select("band", "block", "clause")
         near = written(ordered.mapInArrow(lead, "clause string, leader string, s double"))
         edges = near if edges is None else edges.unionByName(near)
         hot = size.where("blocks > 1").select("band")
-        if hot.isEmpty() or near.isEmpty():
+        if turn == 2 or hot.isEmpty():
             break
         left = written(left.join(small(hot), "band", "left_semi").join(near.select("clause").distinct(), "clause", "left_anti"))
-    # leaders that join a greater one pass their members on
-    best = edges.groupBy("clause").agg(F.max(F.struct("s", "leader")).alias("m")).select("clause", F.col("m.leader").alias("leader"))
-    for _ in range(2):
-        best = written(best)
+    # leaders that join a greater one pass their members on; a leader stands before its members in the order, so this ends
+    best = written(edges.groupBy("clause").agg(F.max(F.struct("s", "leader")).alias("m")).select("clause", F.col("m.leader").alias("leader")))
+    while True:
         up = best.select(F.col("clause").alias("leader"), F.col("leader").alias("above"))
-        best = best.join(up, "leader", "left").select("clause", F.coalesce("above", "leader").alias("leader"))
-    return best
+        passed = written(best.join(up, "leader", "left").select("clause", F.coalesce("above", "leader").alias("leader"), F.col("above").isNotNull().alias("on")))
+        best = passed.drop("on")
+        if passed.where("on").isEmpty():
+            return best
 
 
 def _edges(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.float64())], names=["clause", "leader", "s"])
 
 
+def template_shards(marked: DataFrame, sizes: dict[int, int], most: int, seed: int = 0) -> DataFrame:
+    """(shard, leader, y, rows): every template of ``marked`` in shards of about ``most`` of either kind, by hash.
+
+    ``sizes`` counts the templates of each kind. There are as many shards as the larger kind fills; a part of the smaller kind stands in
+    several of them.
+    """
+    parts = {y: -(-n // most) for y, n in sizes.items()}
+    shards = max(parts.values())
+    step = F.lit(shards)
+    for y, n in parts.items():
+        step = F.when(F.col("y") == y, F.lit(n)).otherwise(step)
+    part = F.pmod(F.xxhash64("leader", F.lit(seed)), step).cast("int")
+    return marked.select(F.explode(F.sequence(part, F.lit(shards - 1), step.cast("int"))).alias("shard"), "leader", "y", "rows")
+
+
+def _fit(found: list[tuple[str, int, int]], seed: int) -> language.LanguageModel:
+    """The model of (template, kind, rows). A template counts by the logarithm of its rows, so that a set wording that recurs is learnt."""
+    rows = sorted((t, y) for t, y, n in found for _ in range(1 + int(np.log2(n))))
+    return language.fit_ftrl([x for x, _ in rows], np.array([y for _, y in rows]), ["other", "refusing"], np.ones(1 << language.BITS), epochs=6, batch=32, seed=seed)
+
+
+def fit_templates(marked: DataFrame, most: int = 20_000, seed: int = 0) -> language.LanguageModel | None:
+    """The model of all templates (leader, y, rows) of the kinds 0 and 1; None without both kinds.
+
+    Of more than ``most`` of a kind, each shard of ``template_shards`` is fitted in a task, and weights and bias are averaged over them
+    (parameter mixing, Zinkevich 2010). So every template counts, and a fit has a fixed size.
+    """
+    sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return None
+    if max(sizes.values()) <= most:
+        return _fit([(r["leader"], r["y"], r["rows"]) for r in marked.select("leader", "y", "rows").collect()], seed)
+
+    def shard(t: pa.Table) -> pa.Table:
+        m = _fit(list(zip(t["leader"].to_pylist(), t["y"].to_pylist(), t["rows"].to_pylist())), seed)
+        return pa.table({"weights": pa.array([zstandard.compress(m.weights.astype(np.float32).tobytes(), 1)], pa.binary()), "bias": pa.array([m.bias.tolist()], pa.list_(pa.float64())), "temperature": pa.array([m.temperature], pa.float64())})
+
+    shape, fits = (1 << language.BITS, 2), 0
+    weights, bias, temperature = np.zeros(shape), np.zeros(2), 0.0
+    for r in written(template_shards(marked, sizes, most, seed).groupBy("shard").applyInArrow(shard, "weights binary, bias array<double>, temperature double")).toLocalIterator():
+        weights += np.frombuffer(zstandard.decompress(r["weights"]), np.float32).reshape(shape)
+        bias, temperature, fits = bias + np.array(r["bias"]), temperature + r["temperature"], fits + 1
+    return language.LanguageModel(["other", "refusing"], (weights / fits).astype(np.float32), bias / fits, np.ones(1 << language.BITS), temperature / fits)
+
+
 def refusing_templates(found: DataFrame, company: DataFrame, similarity: float = 0.8, least_prompts: int = 3, least_sound: int = 10, sample: int = 20_000, seed: int = 0):
     """(model, templates): what tells refusing clauses from others, and (clause) of every recurring template that may refuse: one that
     stands in ``least_sound`` rows and beside nothing that apologises or declines may not.
 
     ``found`` is ``opening_clauses``, ``company`` gives (clause, other) of clauses that stand in one brief opening. The model is
-    fitted on at most about ``sample`` templates of either kind, chosen by hash. None are refusing without examples of both kinds.
+    fitted on all templates, in shards of about ``sample`` of either kind. None are refusing without examples of both kinds.
     """
     found = written(found)
-    # a refusal says nothing else, so its clauses also make up whole answers; all other clauses are counted as they are, as examples
-    clusters = clause_clusters(found.where("brief > 0"), similarity)
+    clusters = clause_clusters(found, similarity)
     led = found.join(clusters, "clause", "left").withColumn("leader", F.coalesce("leader", "clause"))
     led = written(led)
     total = led.groupBy("leader").agg(*[F.sum(c).alias(c) for c in ("prompts", "rows", "sorry", "brief")]).where(F.col("prompts") >= least_prompts)
@@ -317,18 +375,8 @@ def refusing_templates(found: DataFrame, company: DataFrame, similarity: float =
     templates = led.join(small(total.select("leader")), "leader", "left_semi").select("clause")
     share = F.col("sorry") / F.col("rows")
 
-    def fit(marked: DataFrame):
-        part = F.pmod(F.xxhash64("leader", F.lit(seed)), F.lit(1_000_000))
-        sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
-        if len(sizes) < 2:
-            return None
-        rows = [r for y, n in sizes.items() for r in marked.where(F.col("y") == y).where(part < int(1_000_000 * min(1.0, sample / n))).select("leader", "y", "rows").collect()]
-        # a template counts by the logarithm of its rows, so that a set wording that recurs often is learnt
-        rows = sorted((r["leader"], r["y"]) for r in rows for _ in range(1 + int(np.log2(r["rows"]))))
-        return language.fit_ftrl([x for x, _ in rows], np.array([y for _, y in rows]), ["other", "refusing"], np.ones(1 << language.BITS), epochs=6, batch=32, seed=seed)
-
     first = total.withColumn("y", F.when(share > 0.5, 1).when(share < 0.05, 0)).where("y IS NOT NULL")
-    model = fit(first)
+    model = fit_templates(first, sample, seed)
     if model is None:
         return None, templates
     # what mostly stands beside refusing clauses is an example too, and what never does is none
@@ -347,7 +395,7 @@ def refusing_templates(found: DataFrame, company: DataFrame, similarity: float =
     sound = (share < 0.05) & (near < 0.05) & ((own < 0.5) | (F.col("rows") >= least_sound))
     second = written(again.withColumn("y", F.when((share > 0.5) | (near >= 0.5) & (own >= 0.5), 1).when(sound, 0)).select("leader", "y", "rows"))
     open_ = small(second.where("y IS NULL OR y = 1").select("leader"))
-    return fit(second.where("y IS NOT NULL")) or model, led.join(open_, "leader", "left_semi").select("clause")
+    return fit_templates(second.where("y IS NOT NULL"), sample, seed) or model, led.join(open_, "leader", "left_semi").select("clause")
 
 
 def clause_company(pairs: DataFrame) -> DataFrame:

@@ -98,6 +98,44 @@ def test_clause_clusters_in_blocks(spark):
         assert set(got) | set(got.values()) == set(texts[:8])
 
 
+def test_clause_clusters_meet_over_all_blocks(spark, monkeypatch):
+    import numpy as np
+
+    # one band of all clauses
+    monkeypatch.setattr(pair_defects, "BANDS", 1)
+    monkeypatch.setattr(pair_defects, "_signatures", lambda texts, hashes=3: np.zeros((len(texts), hashes), np.uint64))
+    base = "关于您所反映的这一具体情况本栏目经过研究后依照有关规定不便发表任何看法和意见以及其他任何形式的建议"
+    signs = "松柏桐楠江河湖海琴棋书画梅兰竹菊东南西北金银铜铁春夏秋冬红黄蓝绿鱼虾蟹贝风雨雷电"
+    marks = [signs[i : i + 2] + signs[-1 - i] + signs[(7 * i) % len(signs)] for i in range(len(signs) - 1)]
+    texts = [f"{m[:2]}{base[:12]}{m}{base[12:24]}{m[::-1]}{base[24:36]}{m[2:]}{base[36:]}" for m in marks]
+    pairs = [(t, t + "啊") for t in texts[::12]]
+    df = spark.createDataFrame([(t, 5) for t in [*texts, *(b for _, b in pairs)]], "clause string, prompts long")
+    for block in (1000, 2):
+        got = {r["clause"]: r["leader"] for r in pair_defects.clause_clusters(df, 0.9, block).collect()}
+        assert got == {b: a for a, b in pairs}, block
+
+
+def test_templates_are_learnt_from_all(spark):
+    refusing = [f"本栏目{a}给不了您{b}" for a in ("今日", "一向", "现在", "确实", "目前") for b in ("说法", "结论", "主意", "准信")]
+    sound = [f"应当{a}{b}" for a in "依法 按时 先行 及时 主动 书面 如实 足额 全部 逐月".split() for b in "起诉 返还 催告 举证 履行 赔偿 登记 公示 协商 调解".split()]
+    marked = spark.createDataFrame([(t, 1, 3) for t in refusing] + [(t, 0, 9) for t in sound], "leader string, y int, rows long")
+    sharded = pair_defects.template_shards(marked, {0: len(sound), 1: len(refusing)}, 25).collect()
+    assert {(r["leader"], r["y"]) for r in sharded} == {(r["leader"], r["y"]) for r in marked.collect()}
+    assert {r["shard"] for r in sharded if r["y"] == 1} == {r["shard"] for r in sharded if r["y"] == 0} == {0, 1, 2, 3}
+    model = pair_defects.fit_templates(marked, 25)
+    assert (model.probabilities(refusing)[:, 1] >= 0.5).all() and (model.probabilities(sound)[:, 1] < 0.5).all()
+    one = pair_defects.fit_templates(marked, 1000)
+    assert (one.probabilities(refusing)[:, 1] >= 0.5).all() and pair_defects.fit_templates(marked.where("y = 1")) is None
+
+
+def test_clauses_of_longer_answers_are_clustered(spark):
+    # each wording stands once, in an answer of three sentences; only together do they recur
+    said = [f"关于{a}的事项出于合规要求本栏目无法向您提供更多说明此事只能由您自己拿主意" for a in "甲乙丙丁戊己"]
+    df = spark.createDataFrame([(i, q, f"{t}。请按程序办理。之后会有通知。") for i, (q, t) in enumerate(zip(REFUSED, said))], "id int, question string, answer string")
+    _, templates = pair_defects.refusing_templates(pair_defects.opening_clauses(df), pair_defects.clause_company(df))
+    assert {r["clause"] for r in templates.collect()} == {*said, "请按程序办理"}
+
+
 def texts_with_names():
     names = ["阮栎蘅", "欧阳若", "裴珩屿", "陆沅", "温聆晚", "司徒澜", "孟清岚", "秦若棣", "赵岚玥", "乔霁"]
     out = []
