@@ -1,4 +1,4 @@
-"""Gradient-boosted trees over a few numeric features, fitted on the driver on a bounded sample; logistic loss."""
+"""Gradient-boosted trees over a few numeric features, fitted on the driver on weighted rows; logistic loss."""
 
 from __future__ import annotations
 
@@ -14,30 +14,35 @@ class BoostedTrees:
         self.base, self.slope, self.offset = 0.0, 1.0, 0.0
         self.threshold = 0.5
 
-    def fit(self, x: np.ndarray, y: np.ndarray, precision: float = 0.97) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, precision: float = 0.97, weight: np.ndarray | None = None, apart: np.ndarray | None = None) -> BoostedTrees:
+        """Rows count by ``weight`` (default 1); those of ``apart`` (default a fifth by chance) calibrate and set the threshold."""
         order = np.random.default_rng(self.seed).permutation(len(x))
         held, train = order[: len(order) // 5], order[len(order) // 5 :]
-        edges = [np.unique(np.quantile(x[train, f], np.linspace(0, 1, self.bins)[1:-1])) for f in range(x.shape[1])]
+        if apart is not None:
+            held, train = np.flatnonzero(apart), np.flatnonzero(~apart)
+        w = np.ones(len(x)) if weight is None else weight
+        edges = [np.unique(_quantiles(x[train, f], w[train], np.linspace(0, 1, self.bins)[1:-1]) if weight is not None else np.quantile(x[train, f], np.linspace(0, 1, self.bins)[1:-1])) for f in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[train, f], side="left") for f, e in enumerate(edges)], 1)
-        target, p = y[train].astype(float), np.clip(y[train].mean(), 1e-4, 1 - 1e-4)
+        target, p = y[train].astype(float), np.clip(np.average(y[train], weights=w[train]), 1e-4, 1 - 1e-4)
         self.base = float(np.log(p / (1 - p)))
         score = np.full(len(train), self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            feature, cut, leaf, at = self._grow(binned, edges, p - target, np.maximum(p * (1 - p), 1e-6))
+            feature, cut, leaf, at = self._grow(binned, edges, w[train] * (p - target), w[train] * np.maximum(p * (1 - p), 1e-6))
             self.nodes.append((feature, cut, leaf))
             score += leaf[at]
-        self._calibrate(self.score(x[held]), y[held].astype(float))
-        self.threshold = self._threshold(self.probability(x[held]), y[held], precision)
+        self._calibrate(self.score(x[held]), y[held].astype(float), w[held])
+        self.threshold = self._threshold(self.probability(x[held]), y[held], precision, weight=w[held])
         return self
 
-    def _threshold(self, p: np.ndarray, y: np.ndarray, precision: float, low: float = 0.3, high: float = 0.9) -> float:
+    def _threshold(self, p: np.ndarray, y: np.ndarray, precision: float, low: float = 0.3, high: float = 0.9, weight: np.ndarray | None = None) -> float:
         """The lowest calibrated probability from which on the rows kept apart have the precision, between the bounds.
 
         It lies halfway to the next lower row; without rows kept apart, or if none reaches the precision, it is a bound.
         """
         order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        w = np.ones(len(y)) if weight is None else weight[order]
+        right = np.cumsum(y[order] * w) / np.cumsum(w)
         good = np.flatnonzero(right >= precision)
         if not len(good):
             return high if len(y) else 0.5
@@ -87,14 +92,14 @@ class BoostedTrees:
             out += leaf[at - inner]
         return out
 
-    def _calibrate(self, s: np.ndarray, y: np.ndarray) -> None:
+    def _calibrate(self, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         """Platt's sigmoid by Newton steps."""
-        if len(y) < 20 or y.min() == y.max():
+        if weight.sum() < 20 or y.min() == y.max():
             return
         a, b = 1.0, 0.0
         for _ in range(30):
             p = np.clip(1 / (1 + np.exp(-np.clip(a * s + b, -30, 30))), 1e-6, 1 - 1e-6)
-            w, r = p * (1 - p), p - y
+            w, r = weight * p * (1 - p), weight * (p - y)
             hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(hess, np.array([(r * s).sum() + 1e-3 * (a - 1), r.sum()]))
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
@@ -102,3 +107,10 @@ class BoostedTrees:
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.score(x) + self.offset, -30, 30)))
+
+
+def _quantiles(x: np.ndarray, weight: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Values at which shares of the weight are reached."""
+    order = np.argsort(x, kind="stable")
+    reached = np.cumsum(weight[order])
+    return x[order][np.minimum(np.searchsorted(reached, shares * reached[-1]), len(x) - 1)]

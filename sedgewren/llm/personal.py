@@ -2,15 +2,16 @@
 
 Generators of high recall propose overlapping spans of each type; boosted trees judge every span by format and context
 features; each type's threshold on the calibrated probability is the one that has the stated precision on examples kept apart, and
-the larger probability settles what overlaps. There are no labels, so the trees learn from a bounded sample of different texts, in
+the larger probability settles what overlaps. There are no labels, so the trees learn from the texts themselves, in
 which clear cues beside a span, clear signs against it, and better bounded spans in its place give the labels; for half of the
-spans the cue features are hidden while learning, so that format and characters have to carry the decision too. How often each
-character occurs is counted over all rows.
+spans the cue features are hidden while learning, so that format and characters have to carry the decision too. Counts, labels,
+trees and thresholds rest on all rows: spans are counted by what can be seen of them, and equal examples are learnt as one that weighs more.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sedgewren.llm.boosting import BoostedTrees
 from sedgewren.llm.common import code_points, histogram, strings
+from sedgewren.session import written
 
 # Frequent family names of one and of two characters.
 SURNAMES = (
@@ -170,149 +172,262 @@ def _features(kind: str, text: str, start: int, end: int, m: PersonalModel) -> t
     return x, pro, max(x[7], float(x[4] == 0), x[15])
 
 
-def _genuine(spans: list[tuple[str, str, int, int]], share: float = 0.2) -> set[str]:
-    """Spans that stand after a cue in at least ``share`` of the texts that hold them: names do, words such as 付款 don't."""
-    cue, cued, held = CUES["name"][0], Counter(), Counter()
-    mine: dict[str, bool] = {}
-    last = None
-    for k, t, a, b in [*spans, ("", "", 0, 0)]:
-        if t is not last:
-            held.update(mine.keys())
-            cued.update(n for n, c in mine.items() if c)
-            mine, last = {}, t
-        if k == "name":
-            n = t[a:b].replace("\n", "")
-            mine[n] = mine.get(n, False) or bool(cue.search(t[max(0, a - 14) : a].replace("\n", "")))
-    return {n for n, c in cued.items() if c >= share * held[n]}
-
-
-def _runs_on(text: str, start: int, end: int, genuine: set[str]) -> bool:
-    """Whether a span is only the beginning of a name that ends one character later."""
+def _runs_on(text: str, start: int, end: int) -> str:
+    """The name that ends one character later, of which a span may be only the beginning; '' if none does."""
     longer = NAME.match(text, start)
-    return bool(longer and longer.end(1) == end and longer.group(2) and not _HAN.match(text[longer.end(2) : longer.end(2) + 2].lstrip("\n")[:1]) and text[start : longer.end(2)].replace("\n", "") in genuine)
+    on = longer and longer.end(1) == end and longer.group(2) and not _HAN.match(text[longer.end(2) : longer.end(2) + 2].lstrip("\n")[:1])
+    return text[start : longer.end(2)].replace("\n", "") if on else ""
 
 
-def _place_counts(texts: list[str]) -> dict[str, int]:
-    """How often two to five ideographs stand before a unit, with the unit; seldom ones are left out."""
+def _seen_name(text: str, start: int, end: int) -> tuple[str, ...]:
+    """What the label and the features of a name rest on: family name, given name, characters beside it, a longer name, and the flags."""
+    x, pro, con = _features("name", text, start, end, PersonalModel())
+    flat = text[start:end].replace("\n", "")
+    k = 2 if flat[:2] in DOUBLE_SURNAMES else 1
+    bounded = not _HAN.match(text[end : end + 2].lstrip("\n")[:1])
+    longer = _runs_on(text, start, end) if pro and not con and not bounded else ""
+    return flat[:k], flat[k:], text[max(0, start - 14) : start].replace("\n", "")[-1:], text[end : end + 14].lstrip("\n")[:1], longer, *(str(int(v)) for v in (pro, con, x[9], x[10], bounded))
+
+
+def observed(texts: list[str]) -> Counter:
+    """How often each thing that the model is learnt from occurs in texts, by (what, *parts).
+
+    ``name``: spans as ``_seen_name``; ``span``: labelled spans of the other types with their features, and for addresses the three
+    beginnings whose counts are features; ``held``: texts with a name, and whether after a cue; ``cued``: names in ``CUED_NAME``;
+    ``place``: two to five ideographs before a unit, with the unit.
+    """
     out: Counter = Counter()
+    cue, none = CUES["name"][0], PersonalModel()
     for t in texts:
+        names: dict[str, bool] = {}
+        others: dict[str, list] = {}
+        for k, a, b in _candidates(t):
+            if k == "name":
+                n = t[a:b].replace("\n", "")
+                names[n] = names.get(n, False) or bool(cue.search(t[max(0, a - 14) : a].replace("\n", "")))
+                out[("name", *_seen_name(t, a, b))] += 1
+            else:
+                others.setdefault(k, []).append((a, b, *_features(k, t, a, b, none)))
+        out.update(("held", n, str(int(c))) for n, c in names.items())
+        out.update(("cued", x.group(1)) for x in CUED_NAME.finditer(t))
+        for k, mine in others.items():
+            end = lambda a, b: b if k == "address" else t.find("@", a)  # noqa: B023, E731
+            # ends (of addresses) or places (of e-mail addresses) at which a span is marked by a cue
+            sure = {end(a, b): (a, b) for a, b, _, pro, con in reversed(mine) if pro and not con}
+            for a, b, x, pro, con in mine:
+                if k in ("email", "address"):
+                    best = sure.get(end(a, b))
+                    label = 0 if con or best and best != (a, b) else 1 if best else -1
+                else:
+                    label = 1 if pro and not con else 0 if con else 1 if k != "phone" or PHONE.fullmatch(t, a, b) else -1
+                if label >= 0 or k == "address":
+                    out[("span", k, str(label), " ".join(map(repr, x)), *(_beginnings(t, a, b) if k == "address" else ()))] += 1
         flat = t.replace("\n", "")
         for x in re.finditer(f"[{UNITS}]", flat):
-            at = x.end()
             for k in range(3, 7):
-                name = flat[max(0, at - k) : at]
+                name = flat[max(0, x.end() - k) : x.end()]
                 if len(name) == k and all("一" <= c <= "鿿" for c in name):
-                    out[name] += 1
-    return {k: n for k, n in out.items() if n >= 2}
+                    out[("place", name)] += 1
+    return out
 
 
-def fit_personal_model(texts: list[str], background: Counter | None = None, precision: float = 0.97, seed: int = 0) -> PersonalModel:
-    """Fit on a list of sample texts; see the module's docstring for where labels come from.
+def _beginnings(text: str, start: int, end: int) -> tuple[str, str, str]:
+    """An address down to its first unit; the same without its first character, and with the one before it."""
+    flat, held = text[start:end].replace("\n", ""), text[max(0, start - 8) : start].replace("\n", "")
+    first = next(i for i, c in enumerate(flat) if c in UNITS and i >= 2)
+    return flat[: first + 1], flat[1 : first + 1], held[-1:] + flat[: first + 1]
+
+
+class _Seen:
+    """Observations of a list of texts."""
+
+    def __init__(self, texts: list[str]):
+        self.counts = observed(texts)
+
+    def total(self, what: str, sums) -> dict[tuple, float]:
+        """``sums`` of all observations ((parts), n) of a kind."""
+        return sums([(k[1:], n) for k, n in self.counts.items() if k[0] == what])
+
+    def genuine(self, share: float) -> set[str]:
+        held, cued = Counter(), Counter()
+        for k, n in self.counts.items():
+            if k[0] == "held":
+                held[k[1]] += n
+                cued[k[1]] += n * int(k[2])
+        return {x for x, c in cued.items() if c and c >= share * held[x]}
+
+    def places(self) -> dict[str, int]:
+        return {k[1]: n for k, n in self.counts.items() if k[0] == "place" and n >= 2}
+
+
+class _SeenRows(_Seen):
+    """Observations of all rows of one-column frames: counted in batches and summed in a written table."""
+
+    def __init__(self, fields: list[DataFrame]):
+        def count(batches):
+            for b in batches:
+                seen = observed(strings(b.column(0)))
+                yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([list(k[1:]) for k in seen], pa.list_(pa.string())), pa.array(list(seen.values()), pa.int64())], names=["what", "parts", "n"])
+
+        every = None
+        for f in fields:
+            part = f.mapInArrow(count, "what string, parts array<string>, n long")
+            every = part if every is None else every.unionByName(part)
+        self.rows = written(every.groupBy("what", "parts").agg(F.sum("n").alias("n")))
+
+    def total(self, what: str, sums) -> dict[tuple, float]:
+        def part(batches):
+            for b in batches:
+                out = sums(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+                yield pa.record_batch([pa.array([list(map(str, k)) for k in out], pa.list_(pa.string())), pa.array(list(out.values()), pa.float64())], names=["key", "w"])
+
+        found = self.rows.where(F.col("what") == what).select("parts", "n").mapInArrow(part, "key array<string>, w double")
+        return {tuple(r["key"]): r["w"] for r in found.groupBy("key").agg(F.sum("w").alias("w")).collect()}
+
+    def genuine(self, share: float) -> set[str]:
+        held = self.rows.where("what = 'held'").groupBy(F.col("parts")[0].alias("name"))
+        cued = held.agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("parts")[1].cast("long")).alias("cued"))
+        return {r["name"] for r in cued.where((F.col("cued") > 0) & (F.col("cued") >= share * F.col("held"))).collect()}
+
+    def places(self) -> dict[str, int]:
+        # only those that are looked up: beginnings of addresses
+        asked = self.rows.where("what = 'span' AND parts[0] = 'address'").select(F.explode(F.expr("slice(parts, 4, 3)")).alias("name")).distinct()
+        counted = self.rows.where("what = 'place' AND n >= 2").select(F.col("parts")[0].alias("name"), "n")
+        return {r["name"]: r["n"] for r in counted.join(asked, "name", "left_semi").collect()}
+
+
+def _added(pairs) -> dict[tuple, float]:
+    out: dict[tuple, float] = {}
+    for k, w in pairs:
+        out[k] = out.get(k, 0) + w
+    return out
 
-    ``background`` counts characters over all texts (default: over the sample). ``precision`` is what each type's threshold
-    must have on the examples kept apart.
+
+def _fitted(seen: _Seen, every: Counter, precision: float, seed: int, share: float = 0.2, draws: int = 8) -> PersonalModel:
+    """The model of all observations; ``every`` counts characters. A name is genuine if it stands after a cue in ``share`` of its texts.
+
+    Examples that are equal in all features, rounded, are learnt as one that counts by a power (0.75) of their number, so that rare forms
+    of names are learnt; those kept apart count by their number. Half of each number is learnt with the cues hidden; a true name is
+    learnt in ``draws`` variants that share its number.
     """
-    m = PersonalModel(places=_place_counts(texts))
-    rng = np.random.default_rng(seed)
-    spans = [(k, t, a, b) for t in texts for k, a, b in _candidates(t)]
-    genuine = _genuine(spans)
-    family, given = Counter(), Counter()
-    for t in texts:
-        for x in CUED_NAME.finditer(t):
-            n = x.group(1)
+    m = PersonalModel(places=seen.places())
+    genuine = seen.genuine(share)
+
+    def whole_names(rows):
+        for (n,), w in rows:
             k = 2 if n[:2] in DOUBLE_SURNAMES else 1
             if "某" not in n and len(n) > k and not _TITLE.match(n[k:]) and n in genuine:
-                family[n[:k]] += 1
-                given.update(n[k:])
-    every = background or Counter(c for t in texts for c in t)
+                yield from [(("family", n[:k]), w), *((("given", c), w) for c in n[k:])]
+
+    family, given = Counter(), Counter()
+    for (which, c), w in seen.total("cued", lambda rows: _added(whole_names(rows))).items():
+        (family if which == "family" else given)[c] = w
     total, cued = sum(every.values()) or 1, sum(given.values()) or 1
     # how much more often a character stands in names than elsewhere; without a name seen with it, never more
-    odds = lambda c, v: float(np.log((v + 0.5) / cued) - np.log((every[c] + 0.5) / total))
+    odds = lambda c, v: round(float(np.log((v + 0.5) / cued) - np.log((every[c] + 0.5) / total)), 1)
     m.given = {c: odds(c, given[c]) if given[c] else min(0.0, odds(c, 0)) for c in every if _HAN.match(c)}
     most = sum(family.values()) or 1
-    m.surname = {c: float(np.log((v + 0.5) / most) - np.log((every[c[-1]] + 0.5) / total)) for c, v in family.items()}
-    sure_l, sure_r, all_l, all_r = Counter(), Counter(), Counter(), Counter()
-    judged = []
-    for k, t, a, b in spans:
-        if k != "name":
-            continue
-        flat = t[a:b].replace("\n", "")
-        cut = 2 if flat[:2] in DOUBLE_SURNAMES else 1
-        own = flat[cut:]
-        x, pro, con = _features(k, t, a, b, m)
-        seen = flat[:cut] in family and all(given[c] for c in own)
-        if seen:
-            l, r = t[max(0, a - 1) : a], t[b : b + 2].lstrip("\n")[:1]
-            all_l[l] += 1
-            all_r[r] += 1
-            if con:
-                sure_l[l] += 1
-                sure_r[r] += 1
-        bounded = not _HAN.match(t[b : b + 2].lstrip("\n")[:1])
-        if con:
-            label = 0
-        elif pro and bounded:
-            label = int(flat in genuine)
-        elif pro:
-            # only the beginning of a longer name, or a name and the first character after it; else undecided
-            label = 0 if _runs_on(t, a, b, genuine) or len(own) == 2 and given[own[0]] and not given[own[1]] else -1
-        else:
-            label = -1 if seen else 0
-        judged.append((t, a, b, label, own))
-    bad = sum(sure_l.values()) or 1
-    m.left = {c: -float(np.log((sure_l[c] + 1) / bad) - np.log((v + 1) / sum(all_l.values()))) for c, v in all_l.items() if v >= 3}
-    m.right = {c: -float(np.log((sure_r[c] + 1) / bad) - np.log((v + 1) / sum(all_r.values()))) for c, v in all_r.items() if v >= 3}
-    rows, labels = [], []
+    m.surname = {c: round(float(np.log((v + 0.5) / most) - np.log((every[c[-1]] + 0.5) / total)), 1) for c, v in family.items()}
+
+    def beside(rows):
+        for (fam, own, left, right, _, _, con, *_), w in rows:
+            if fam in family and all(given[c] for c in own):
+                yield from [(("l", left, con), w), (("r", right, con), w)]
+
+    sides: dict[str, tuple[Counter, Counter]] = {"l": (Counter(), Counter()), "r": (Counter(), Counter())}
+    for (side, c, con), w in seen.total("name", lambda rows: _added(beside(rows))).items():
+        sides[side][0][c] += w
+        sides[side][1][c] += w * int(con)
+    for side, table in (("l", m.left), ("r", m.right)):
+        both, sure = sides[side]
+        bad = sum(sure.values()) or 1
+        table.update({c: round(-float(np.log((sure[c] + 1) / bad) - np.log((v + 1) / sum(both.values()))), 1) for c, v in both.items() if v >= 3})
     plain = [c for c in every if _HAN.match(c) and not given[c]] or ["一"]
-    weight = np.array([every[c] + 1.0 for c in plain])
-    around = iter(rng.choice(len(plain), 2 * len(judged) + 1, p=weight / weight.sum()))
-    for t, a, b, label, own in judged:
-        if label < 0:
-            continue
-        x, _, _ = _features("name", t, a, b, m)
-        hidden, other = rng.random(2)
-        if hidden < 0.5:
-            x[0] = 0.0
-            if label:
-                x[6] = m.left.get(plain[next(around)], 0.0)
-        elif label and hidden < 0.7:
-            # as if characters of the name, or the family name, had been in no other: a clear cue has to carry it
-            g = [m.given[c] if rng.random() < 0.4 else min(0.0, odds(c, 0)) for c in own]
-            x[3], x[4], x[11] = min(g), sum(g) / len(g), g[-1]
-            if rng.random() < 0.5:
-                x[2] = -3.0
-        if label and other < 0.5:
-            # as if the sentence went on after the name
-            c = plain[next(around)]
-            x[7], x[10], x[12] = m.right.get(c, 0.0), 0.0, m.given.get(c, 0.0)
-        rows.append(x)
-        labels.append(label)
-    if len(rows) >= 40 and 0 < sum(labels) < len(labels):
-        m.trees["name"] = BoostedTrees(seed=seed).fit(np.array(rows), np.array(labels), precision)
-    m.threshold["name"] = m.trees["name"].threshold if "name" in m.trees else 0.5
-    for kind in TYPES[1:]:
-        mine = [(t, a, b, *_features(kind, t, a, b, m)) for k, t, a, b in spans if k == kind]
-        # ends (of addresses) or places (of e-mail addresses) at which a span is marked by a cue
-        sure = {(id(t), b if kind == "address" else t.find("@", a)): (a, b) for t, a, b, _, pro, con in reversed(mine) if pro and not con}
-        rows, labels = [], []
-        for t, a, b, x, pro, con in mine:
-            if kind in ("email", "address"):
-                best = sure.get((id(t), b if kind == "address" else t.find("@", a)))
-                label = 0 if con or best and best != (a, b) else 1 if best else -1
+    weight = np.cumsum([every[c] + 1.0 for c in plain])
+
+    def names(rows):
+        for parts, w in rows:
+            fam, own, left, right, longer = parts[:5]
+            pro, con, breaks, ends, bounded = map(int, parts[5:])
+            rng = np.random.default_rng([seed, zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass"))])
+            if con:
+                label = 0
+            elif pro and bounded:
+                label = int(fam + own in genuine)
+            elif pro:
+                # only the beginning of a longer name, or a name and the first character after it; else undecided
+                label = 0 if longer in genuine or len(own) == 2 and given[own[0]] and not given[own[1]] else -1
             else:
-                label = 1 if pro and not con else 0 if con else 1 if kind != "phone" or PHONE.fullmatch(t, a, b) else -1
+                label = -1 if fam in family and all(given[c] for c in own) else 0
             if label < 0:
                 continue
-            if rng.random() < 0.5:
-                x[0] = x[1] = 0.0
-            rows.append(x)
-            labels.append(label)
-        if len(rows) >= 40 and 0 < sum(labels) < len(labels):
-            m.trees[kind] = BoostedTrees(seed=seed).fit(np.array(rows), np.array(labels), precision)
+            g = [m.given.get(c, 0.0) for c in own]
+            x = [float(pro), float(con), m.surname.get(fam, -3.0), min(g), sum(g) / len(g), float(len(own)), m.left.get(left, 0.0), m.right.get(right, 0.0), float(len(fam) > 1), float(breaks), float(ends), g[-1], m.given.get(right, 0.0) if _HAN.match(right) else -9.0]
+            for apart, n in _parted(rng, w):
+                if not label:
+                    yield _example("name", apart, label, x), n / 2
+                    yield _example("name", apart, label, [0.0, *x[1:]]), n / 2
+                    continue
+                around = iter(np.searchsorted(weight, rng.random(2 * draws) * weight[-1], side="right"))
+                for d in range(draws):
+                    y, other = list(x), rng.random()
+                    if 2 * d < draws:
+                        y[0], y[6] = 0.0, m.left.get(plain[next(around)], 0.0)
+                    elif rng.random() < 0.4:
+                        # as if characters of the name, or the family name, had been in no other: a clear cue has to carry it
+                        h = [m.given.get(c, 0.0) if rng.random() < 0.4 else min(0.0, odds(c, 0)) for c in own]
+                        y[3], y[4], y[11] = min(h), sum(h) / len(h), h[-1]
+                        if rng.random() < 0.5:
+                            y[2] = -3.0
+                    if other < 0.5:
+                        # as if the sentence went on after the name
+                        c = plain[next(around)]
+                        y[7], y[10], y[12] = m.right.get(c, 0.0), 0.0, m.given.get(c, 0.0)
+                    yield _example("name", apart, label, y), n / draws
+
+    def others(rows):
+        for (kind, label, values, *asked), w in rows:
+            if label == "-1":
+                continue
+            x = list(map(float, values.split()))
+            if kind == "address":
+                own, shorter, longer = (m.places.get(c, 0) for c in asked)
+                x[12], x[13] = own / (shorter + 1.0) if x[11] > 2 else 1.0, longer / (own + 1.0)
+            rng = np.random.default_rng([seed, zlib.crc32(" ".join([values, *asked]).encode("utf-8", "surrogatepass"))])
+            for apart, n in _parted(rng, w):
+                yield _example(kind, apart, label, x), n / 2
+                yield _example(kind, apart, label, [0.0, 0.0, *x[2:]]), n / 2
+
+    examples = seen.total("name", lambda rows: _added(names(rows))) | seen.total("span", lambda rows: _added(others(rows)))
+    for kind in TYPES:
+        mine = sorted((k, w) for k, w in examples.items() if k[0] == kind)
+        y = np.array([int(k[2]) for k, _ in mine])
+        w, apart = np.array([w for _, w in mine]), np.array([k[1] == "1" for k, _ in mine], bool)
+        if len(mine) and w.sum() >= 40 and 0 < y[~apart].sum() < (~apart).sum():
+            m.trees[kind] = BoostedTrees(seed=seed).fit(np.array([list(map(float, k[3].split())) for k, _ in mine]), y, precision, np.where(apart, w, w**0.75), apart)
         m.threshold[kind] = m.trees[kind].threshold if kind in m.trees else 0.5
     return m
 
 
+def _parted(rng: np.random.Generator, n: int) -> list[tuple[int, int]]:
+    """(apart, number) of ``n`` equal examples, about a fifth of which are kept apart."""
+    held = int(rng.binomial(n, 0.2))
+    return [(apart, k) for apart, k in ((0, n - held), (1, held)) if k]
+
+
+def _example(kind: str, apart: int, label, x: list[float]) -> tuple[str, str, str, str]:
+    return kind, str(apart), str(label), " ".join(f"{v:.2f}" for v in x)
+
+
+def fit_personal_model(texts: list[str], background: Counter | None = None, precision: float = 0.97, seed: int = 0) -> PersonalModel:
+    """Fit on a list of texts; see the module's docstring for where labels come from.
+
+    ``background`` counts characters (default: over the texts). ``precision`` is what each type's threshold must have on the
+    examples kept apart.
+    """
+    return _fitted(_Seen(texts), background or Counter(c for t in texts for c in t), precision, seed)
+
+
 def _judge(texts: list[str], m: PersonalModel):
     """(row, type, start, end) of every accepted span of the texts, none overlapping another of its row."""
     found = [(r, k, a, b) for r, t in enumerate(texts) for k, a, b in _candidates(t)]
@@ -334,16 +449,6 @@ def _judge(texts: list[str], m: PersonalModel):
             yield r, kind, a, b
 
 
-def sample_texts(texts: DataFrame, n: int, seed: int = 0) -> list[str]:
-    """At most about ``n`` different texts of a one-column frame, by hash; copies of a text count once."""
-    c = F.col(texts.columns[0])
-    texts = texts.where(c.isNotNull())
-    total = texts.agg(F.approx_count_distinct(c).alias("n")).first()["n"]
-    if total > n:
-        texts = texts.where(F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * n / total))
-    return sorted(r[0] for r in texts.distinct().limit(2 * n).collect())
-
-
 def character_counts(fields: list[DataFrame], bits: int = 18) -> Counter:
     """Occurrences of every character below 2**18 over all rows of the one-column frames."""
     every = Counter()
@@ -358,10 +463,10 @@ def character_counts(fields: list[DataFrame], bits: int = 18) -> Counter:
     return every
 
 
-def personal_model(fields: list[DataFrame], sample_each: int = 4000, precision: float = 0.97, seed: int = 0) -> PersonalModel:
-    """Fit on at most about ``sample_each`` different texts of each one-column frame; characters are counted over all rows."""
-    sample = [t for f in fields for t in sample_texts(f, sample_each, seed)]
-    return fit_personal_model(sample, character_counts(fields), precision, seed)
+def personal_model(fields: list[DataFrame], precision: float = 0.97, seed: int = 0) -> PersonalModel:
+    """Fit on all rows of the one-column frames: counts, labels, trees and thresholds take in every text."""
+    fields = [f.where(F.col(f.columns[0]).isNotNull()) for f in fields]
+    return _fitted(_SeenRows(fields), character_counts(fields), precision, seed)
 
 
 def personal_spans(rows: DataFrame, model: PersonalModel, text_col: str, id_col: str = "id") -> DataFrame:

@@ -176,6 +176,15 @@ def test_personal_thresholds_follow_the_precision():
     assert set(model.trees) == set(personal.TYPES) == set(model.threshold)
 
 
+def test_personal_model_rests_on_all_rows(spark):
+    texts = [f"{t}事项{k}。" for t in texts_with_names() for k in range(100)]
+    whole = personal.fit_personal_model(texts)
+    model = personal.personal_model([spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")])
+    assert model.places["江川市"] == sum("江川市" in t for t in texts) and {k: whole.places[k] for k in model.places} == model.places
+    assert (model.surname, model.given, model.left, model.right) == (whole.surname, whole.given, whole.left, whole.right)
+    assert set(model.trees) == set(personal.TYPES) and model.threshold == pytest.approx(whole.threshold)
+
+
 def test_personal_bounds_of_addresses_and_mail():
     model = personal.fit_personal_model(texts_with_names())
     texts = ["我住在江川市南山区长宁路88号，门口有树。", "邮箱ab.c77@mail.example。谢谢。", "长宁路88号没有写明。"]
