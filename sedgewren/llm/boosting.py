@@ -83,13 +83,16 @@ class BoostedTrees:
         return feature, cut, leaf, at
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        rows, inner = np.arange(len(x)), (1 << self.depth) - 1
+        out, columns = np.full(len(x), self.base), np.ascontiguousarray(x.T)
         for feature, cut, leaf in self.nodes:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
-            out += leaf[at - inner]
+            # from the leaves up: what each node gives every row
+            given = list(leaf)
+            for level in reversed(range(self.depth)):
+                first = (1 << level) - 1
+                for n in range(first + 1):
+                    low, high = given[2 * n : 2 * n + 2]
+                    given[n] = low if np.isinf(cut[first + n]) else np.where(columns[feature[first + n]] > cut[first + n], high, low)
+            out += given[0]
         return out
 
     def _calibrate(self, s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm.boosting import BoostedTrees
-from sedgewren.llm.common import code_points, histogram, strings
+from sedgewren.llm.common import bounded, code_points, histogram, strings
 from sedgewren.session import written
 
 # Frequent family names of one and of two characters.
@@ -83,28 +83,178 @@ NAME = re.compile(rf"(?=((?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}])\n?[{HAN}])
 CUED_NAME = re.compile(rf"(?:代理人|收件人为|承办人|联系人[：:]|我叫|本人|被告|原告)\s*((?:{'|'.join(DOUBLE_SURNAMES)}|[{SURNAMES}])[{HAN}]{{1,2}})(?=[，,。、\s])")
 
 
-def _candidates(text: str):
-    """(type, start, end) of every proposed span; spans may overlap, also those of one type."""
-    for m in NAME.finditer(text):
-        yield "name", m.start(), m.end(1)
-        if m.group(2):
-            yield "name", m.start(), m.end(2)
+def _among(chars) -> np.ndarray:
+    """By code point up to ``_Batch.END``: whether it is one of ``chars``."""
+    out = np.zeros(_Batch.END + 1, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+def _pairs(words) -> np.ndarray:
+    return np.array([ord(w[0]) << 21 | ord(w[1]) for w in words], np.int64)
+
+
+# of about so many characters arrays are made at once
+_CHARS = 1_000_000
+
+
+class _Batch:
+    """Texts joined by NUL, which no generator matches; ``points`` has ``END`` between them."""
+
+    END = 0x110000
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.joined = "\0" + "\0".join(texts) + "\0\0\0\0"
+        self.starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        self.points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        self.points[self.starts - 1] = self.points[-4:] = self.END
+
+    def row(self, at):
+        """The text of each position."""
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def others(self):
+        """(row, type, start, end) of every proposed span but names; spans may overlap, also those of one type.
+
+        Searched are texts with what a type can't do without: ten digits, or letters like them, at most three characters apart; a sign of
+        e-mail addresses; a digit before 号.
+        """
+        p = self.points
+        beside = lambda at, step, table: table[p[at + step]] | (p[at + step] == 10) & table[p[at + 2 * step]]
+        digits = np.flatnonzero(_IS_DIGIT[p])
+        of = self.row(digits)
+        runs = np.cumsum(np.append(0, (np.diff(digits) > 4) | (np.diff(of) > 0)))[: len(digits)]
+        many = of[np.bincount(runs)[runs] >= 10] if len(digits) else digits
+        t = np.flatnonzero(p == ord("t"))
+        at = np.concatenate([np.flatnonzero((p == ord("@")) | (p == ord("＠"))), t[beside(t, -1, _IS_A) & beside(t, 1, _IS_CLOSING)]])
+        door = np.flatnonzero(p == ord("号"))
+        door = door[beside(door, -1, _IS_DIGIT)]
+        many, at, door = (set(x.tolist()) for x in (many, self.row(at), self.row(door)))
+        for r in sorted(many | at | door):
+            yield from ((r, *f) for f in _candidates(self.texts[r], r in many, r in at, r in door))
+
+
+def _candidates(text: str, digits: bool, at: bool, door: bool):
+    """(type, start, end) of every proposed span but names; the flags say what is found in the text at all."""
     end = 0
-    for m in PHONE.finditer(text):
+    for m in PHONE.finditer(text) if digits else ():
         end = m.end()
         yield "phone", m.start(), end
-    for m in LOOSE.finditer(text):
+    for m in LOOSE.finditer(text) if digits else ():
         if m.start() >= end or not PHONE.match(text, m.start()):
             yield "phone", m.start(), m.end()
-    for rx in (ID18, ID15):
+    for rx in (ID18, ID15) if digits else ():
         for m in rx.finditer(text):
             yield "id_number", m.start(), m.end()
-    if "@" in text or "＠" in text or "t" in text:
-        for m in EMAIL.finditer(text):
-            yield from (("email", a, b) for a, b in _email_spans(text, m.start(), m.end()))
-    if "号" in text:
-        for m in HOUSE.finditer(text):
-            yield from (("address", a, m.end()) for a in _address_starts(text, m.start(1), m.end(1)))
+    for m in EMAIL.finditer(text) if at else ():
+        yield from (("email", a, b) for a, b in _email_spans(text, m.start(), m.end()))
+    for m in HOUSE.finditer(text) if door else ():
+        yield from (("address", a, m.end()) for a in _address_starts(text, m.start(1), m.end(1)))
+
+
+# what the expressions for names look for, as tables
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_IS_SURNAME, _IS_FIRST, _IS_STOP = _among(SURNAMES), _among({w[0] for w in DOUBLE_SURNAMES}), _among(["，", "。", "；", "：", *_SPACES])
+_IS_UNIT, _IS_LARGE, _IS_END, _IS_OPEN = _among("省市区县镇乡村路街巷里道号"), _among(UNITS), _among("，。、：；）,. "), _among(["：", ":", *_SPACES])
+_IS_STOP[_Batch.END] = _IS_END[_Batch.END] = True
+_IS_DIGIT, _IS_A, _IS_CLOSING = _among("0123456789０１２３４５６７８９OoIl"), _among("a"), _among("])）")
+_DOUBLE, _TITLES = _pairs(DOUBLE_SURNAMES), _pairs(["先生", "女士", "小姐", "律师", "法官", "老师"])
+_CUE_ENDS = _pairs("理人 件人 人为 系人 办人 我叫 本人 姓名 名叫 我是 被告 原告 被吿 原吿 表姐 表妹 表哥 表弟 请人 证人 户主".split())
+_KINDS = re.compile("公司|厂|工作室|中心|小区|家园|广场|公寓|新村|花园|条例|办法|规定|细则")
+
+
+class _Names:
+    """Every proposed name of a batch of texts, in arrays: each family name followed by one or two ideographs, at every position.
+
+    ``begin`` and ``end`` count in the joined texts. ``chars`` has the characters of a name without breaks, of which ``k`` are the family name;
+    ``left`` and ``right`` the characters beside it, ``END`` where there is none; ``pro`` and ``con`` the cues.
+    """
+
+    def __init__(self, b: _Batch):
+        p, every = b.points, np.arange(len(b.points), dtype=np.int32)
+        han, line = (p >= 0x4E00) & (p <= 0x9FFF), p == 10
+        on = np.where(han, every, np.int32(-1))
+        on[:-1] = np.where(line[:-1] & han[1:], every[1:], on[:-1])  # the ideograph here or after one break, else -1
+        two = np.flatnonzero(_IS_FIRST[p])
+        two = two[np.isin(p[two].astype(np.int64) << 21 | p[two + 1], _DOUBLE)]
+        two = two[on[two + 2] >= 0]
+        one = np.setdiff1d(np.flatnonzero(_IS_SURNAME[p]), two, assume_unique=True)
+        one = one[on[one + 1] >= 0]
+        start, family = np.concatenate([one, two]), np.repeat([1, 2], [len(one), len(two)])
+        order = np.argsort(start, kind="stable")
+        start, family = start[order], family[order]
+        first = on[start + family]
+        second = on[first + 1]
+        chars = np.zeros((len(start), 4), np.int64)  # wide enough for pairs
+        chars[:, 0], chars[:, 1] = p[start], np.where(family == 2, p[start + 1], p[first])
+        chars[:, 2] = np.where(family == 2, p[first], 0)
+        longer, size = np.flatnonzero(second >= 0), family + 1
+        more = chars[longer]
+        more[np.arange(len(longer)), size[longer]] = p[second[longer]]
+        begin, end = np.concatenate([start, start[longer]]), np.concatenate([first, second[longer]]) + 1
+        chars, size = np.concatenate([chars, more]), np.concatenate([size, size[longer] + 1])
+        double = np.isin(chars[:, 0] << 21 | chars[:, 1], _DOUBLE)
+        kept = np.flatnonzero(~double | (size > 2))  # a double family name alone is no name
+        kept = kept[np.lexsort((end[kept], begin[kept]))]
+        self.begin, self.end, self.chars, self.size = begin, end, chars, size = begin[kept], end[kept], chars[kept], size[kept]
+        self.double = double[kept]
+        self.k = k = 1 + self.double
+        self.row, self.breaks = b.row(begin), end - begin != size
+        self.bounded = ~(han[end] | line[end] & han[end + 1])
+        at = np.arange(len(begin))
+        self.given, self.last = chars[at, k], chars[at, size - 1]  # first and last character of the given name
+        before = np.maximum.accumulate(np.where(line, np.int32(-1), every))
+        after = np.minimum.accumulate(np.where(line, np.int32(len(p)), every)[::-1])[::-1]
+        held, follows = before[begin - 1], after[end]
+        self.left, self.right = np.where(begin - held <= 14, p[held], b.END).astype(np.int64), np.where(follows - end < 14, p[follows], b.END).astype(np.int64)
+        self.ends = _IS_END[self.right]
+        self.pro = _IS_OPEN[self.left] | np.isin(p[before[np.maximum(held - 1, 0)]].astype(np.int64) << 21 | self.left, _CUE_ENDS)
+        cue = CUES["name"][0]
+        for i in np.flatnonzero(self.pro).tolist():
+            self.pro[i] = bool(cue.search(b.joined[max(b.starts[self.row[i]], begin[i] - 14) : begin[i]].replace("\n", "")))
+        stop = np.minimum.accumulate(np.where(_IS_STOP[p], every, len(p)).astype(np.int32)[::-1])[::-1]
+        kinds = np.array([m.start() for m in _KINDS.finditer(b.joined)] + [2 * len(p)])
+        kind = kinds[np.searchsorted(kinds, follows)]  # the next one
+        against = _IS_UNIT[self.right] | (kind - follows <= 9) & (kind < stop[follows])
+        for i in np.flatnonzero(follows - end > 2).tolist():
+            rest = b.joined[end[i] : min(end[i] + 14, b.starts[self.row[i] + 1] - 1)].lstrip("\n")
+            against[i] = bool(_UNIT.match(rest) or _ORGANISATION.match(rest))
+        next_ = np.where(size - k > 1, self.last, self.right)
+        some, chief = ord("某"), ord("总")
+        self.con = against | (self.given == some) | (self.given == chief) | (self.last == some) | np.isin(self.given << 21 | next_, _TITLES)
+
+    def features(self, m: PersonalModel) -> np.ndarray:
+        """Features of every name, of which the first two are the cues."""
+        given, left, right = np.zeros(_Batch.END + 1), np.zeros(_Batch.END + 1), np.zeros(_Batch.END + 1)
+        surname = np.full(_Batch.END + 1, -3.0)
+        for table, values in ((given, m.given), (left, m.left), (right, m.right)):
+            table[[ord(c) if c else _Batch.END for c in values]] = list(values.values())
+        alone = {c: v for c, v in m.surname.items() if len(c) == 1}
+        surname[[ord(c) for c in alone]] = list(alone.values())
+        family = surname[self.chars[:, 0]]
+        family[self.double] = -3.0
+        for c, v in m.surname.items():
+            if len(c) == 2:
+                family[self.double & (self.chars[:, 0] == ord(c[0])) & (self.chars[:, 1] == ord(c[1]))] = v
+        number = self.size - self.k
+        first, last = given[self.given], given[self.last]
+        mean = np.where(number > 1, (first + last) / 2, first)
+        han = (self.right >= 0x4E00) & (self.right <= 0x9FFF)
+        return np.stack([self.pro, self.con, family, np.minimum(first, last), mean, number, left[self.left], right[self.right], self.double, self.breaks, self.ends, last, np.where(han, given[self.right], -9.0)], 1).astype(float)
+
+
+def _tallied(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each equal keys, and their number."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, order
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
 
 def _email_spans(text: str, start: int, end: int):
@@ -130,20 +280,11 @@ def _address_starts(text: str, start: int, end: int):
 
 
 def _features(kind: str, text: str, start: int, end: int, m: PersonalModel) -> tuple[list[float], float, float]:
-    """Features, of which the first two are the cues; and the cues for and against."""
-    span, before, after = text[start:end], text[max(0, start - 14) : start].replace("\n", ""), text[end : end + 14]
-    after1 = after.lstrip("\n")
+    """Features of a span that is no name, of which the first two are the cues; and the cues for and against."""
+    span, before = text[start:end], text[max(0, start - 14) : start].replace("\n", "")
     yes, no = CUES[kind]
     pro, con = float(bool(yes.search(before))), float(bool(no.search(before)))
     breaks = float("\n" in span)
-    if kind == "name":
-        flat = span.replace("\n", "")
-        double = flat[:2] in DOUBLE_SURNAMES
-        family, given = (flat[:2], flat[2:]) if double else (flat[:1], flat[1:])
-        g = [m.given.get(c, 0.0) for c in given]
-        against = _UNIT.match(after1) or _ORGANISATION.match(after1) or _TITLE.match(given + after1) or "某" in given
-        x = [pro, float(bool(against)), m.surname.get(family, -3.0), min(g), sum(g) / len(g), float(len(given)), m.left.get(before[-1:], 0.0), m.right.get(after1[:1], 0.0), float(double), breaks, float(after1[:1] in "，。、：；）,. " if after1 else 1.0), g[-1], m.given.get(after1[:1], 0.0) if _HAN.match(after1) else -9.0]
-        return x, pro, float(bool(against))
     flat = re.sub(r"[^0-9X]", "", span.translate(PLAIN))
     touching = float(bool(re.search(r"[0-9０-９][\n ]?$", text[max(0, start - 3) : start])) or bool(re.match(r"\n?[0-9０-９]", text[end : end + 2])))
     if kind == "phone":
@@ -179,58 +320,85 @@ def _runs_on(text: str, start: int, end: int) -> str:
     return text[start : longer.end(2)].replace("\n", "") if on else ""
 
 
-def _seen_name(text: str, start: int, end: int) -> tuple[str, ...]:
-    """What the label and the features of a name rest on: family name, given name, characters beside it, a longer name, and the flags."""
-    x, pro, con = _features("name", text, start, end, PersonalModel())
-    flat = text[start:end].replace("\n", "")
-    k = 2 if flat[:2] in DOUBLE_SURNAMES else 1
-    bounded = not _HAN.match(text[end : end + 2].lstrip("\n")[:1])
-    longer = _runs_on(text, start, end) if pro and not con and not bounded else ""
-    return flat[:k], flat[k:], text[max(0, start - 14) : start].replace("\n", "")[-1:], text[end : end + 14].lstrip("\n")[:1], longer, *(str(int(v)) for v in (pro, con, x[9], x[10], bounded))
+_BITS = [tuple("01"[f >> k & 1] for k in range(5)) for f in range(32)]
+
+
+def _character(c: int) -> str:
+    return chr(c) if c < _Batch.END else ""
 
 
 def observed(texts: list[str]) -> Counter:
     """How often each thing that the model is learnt from occurs in texts, by (what, *parts).
 
-    ``name``: spans as ``_seen_name``; ``span``: labelled spans of the other types with their features, and for addresses the three
+    ``name``: what the label and the features of a name rest on: family name, given name, characters beside it, a longer name of which it
+    may be the beginning, and the flags; ``span``: labelled spans of the other types with their features, and for addresses the three
     beginnings whose counts are features; ``held``: texts with a name, and whether after a cue; ``cued``: names in ``CUED_NAME``;
     ``place``: two to five ideographs before a unit, with the unit.
     """
     out: Counter = Counter()
-    cue, none = CUES["name"][0], PersonalModel()
-    for t in texts:
-        names: dict[str, bool] = {}
-        others: dict[str, list] = {}
-        for k, a, b in _candidates(t):
-            if k == "name":
-                n = t[a:b].replace("\n", "")
-                names[n] = names.get(n, False) or bool(cue.search(t[max(0, a - 14) : a].replace("\n", "")))
-                out[("name", *_seen_name(t, a, b))] += 1
-            else:
-                others.setdefault(k, []).append((a, b, *_features(k, t, a, b, none)))
-        out.update(("held", n, str(int(c))) for n, c in names.items())
-        out.update(("cued", x.group(1)) for x in CUED_NAME.finditer(t))
-        for k, mine in others.items():
-            end = lambda a, b: b if k == "address" else t.find("@", a)  # noqa: B023, E731
-            # ends (of addresses) or places (of e-mail addresses) at which a span is marked by a cue
-            sure = {end(a, b): (a, b) for a, b, _, pro, con in reversed(mine) if pro and not con}
-            for a, b, x, pro, con in mine:
-                if k in ("email", "address"):
-                    best = sure.get(end(a, b))
-                    label = 0 if con or best and best != (a, b) else 1 if best else -1
-                else:
-                    label = 1 if pro and not con else 0 if con else 1 if k != "phone" or PHONE.fullmatch(t, a, b) else -1
-                if label >= 0 or k == "address":
-                    out[("span", k, str(label), " ".join(map(repr, x)), *(_beginnings(t, a, b) if k == "address" else ()))] += 1
-        flat = t.replace("\n", "")
-        for x in re.finditer(f"[{UNITS}]", flat):
-            for k in range(3, 7):
-                name = flat[max(0, x.end() - k) : x.end()]
-                if len(name) == k and all("一" <= c <= "鿿" for c in name):
-                    out[("place", name)] += 1
+    for part in bounded(texts, _CHARS):
+        _observe(part, out)
     return out
 
 
+def _observe(texts: list[str], out: Counter) -> None:
+    b = _Batch(texts)
+    names = _Names(b)
+    n = len(names.begin)
+    name = names.chars[:, 0] << 16 | names.chars[:, 1]
+    name = name.astype(np.uint64) << np.uint64(32) | (names.chars[:, 2] << 16 | names.chars[:, 3]).astype(np.uint64)
+    flags = np.stack([names.pro, names.con, names.breaks, names.ends, names.bounded], 1) @ (1 << np.arange(5))
+    longer: dict[int, str] = {}
+    for i in np.flatnonzero(names.pro & ~names.con & ~names.bounded).tolist():
+        t, first = texts[names.row[i]], b.starts[names.row[i]]
+        if on := _runs_on(t, int(names.begin[i] - first), int(names.end[i] - first)):
+            longer[i] = on
+    # what runs on is seldom, and stays by itself
+    apart = np.zeros(n, np.int64)
+    apart[list(longer)] = np.arange(1, len(longer) + 1)
+    begin, end = names.begin.tolist(), names.end.tolist()
+    flat = lambda i: b.joined[begin[i] : end[i]].replace("\n", "")
+    at, number = _tallied(name, names.left << 21 | names.right, flags, apart)
+    for i, c, k, left, right, f in zip(at.tolist(), number.tolist(), names.k[at].tolist(), names.left[at].tolist(), names.right[at].tolist(), flags[at].tolist()):
+        own = flat(i)
+        out["name", own[:k], own[k:], _character(left), _character(right), longer.get(i, ""), *_BITS[f]] += c
+    # each name of a text once, with a cue if any of its places has one
+    order = np.lexsort((~names.pro, name, names.row))
+    new = np.ones(n, bool)
+    new[1:] = (name[order[1:]] != name[order[:-1]]) | (names.row[order[1:]] != names.row[order[:-1]])
+    once = order[new]
+    at, number = _tallied(name[once], names.pro[once])
+    for i, c in zip(once[at].tolist(), number.tolist()):
+        out["held", flat(i), str(int(names.pro[i]))] += c
+    out.update(("cued", x.group(1)) for x in CUED_NAME.finditer(b.joined))
+    none = PersonalModel()
+    others: dict[tuple[int, str], list] = {}
+    for r, k, start, stop in b.others():
+        others.setdefault((r, k), []).append((start, stop, *_features(k, texts[r], start, stop, none)))
+    for (r, k), mine in others.items():
+        t = texts[r]
+        key = lambda a, b: b if k == "address" else t.find("@", a)  # noqa: B023, E731
+        # ends (of addresses) or places (of e-mail addresses) at which a span is marked by a cue
+        sure = {key(x, y): (x, y) for x, y, _, pro, con in reversed(mine) if pro and not con}
+        for start, stop, x, pro, con in mine:
+            if k in ("email", "address"):
+                best = sure.get(key(start, stop))
+                label = 0 if con or best and best != (start, stop) else 1 if best else -1
+            else:
+                label = 1 if pro and not con else 0 if con else 1 if k != "phone" or PHONE.fullmatch(t, start, stop) else -1
+            if label >= 0 or k == "address":
+                out[("span", k, str(label), " ".join(map(repr, x)), *(_beginnings(t, start, stop) if k == "address" else ()))] += 1
+    text, p = b.joined.replace("\n", ""), b.points[b.points != 10]
+    run = np.arange(len(p)) - np.maximum.accumulate(np.where((p >= 0x4E00) & (p <= 0x9FFF), 0, np.arange(len(p))))
+    units = np.flatnonzero(_IS_LARGE[p])
+    ends = [units[run[units] >= k] for k in range(3, 7)]
+    at, lengths = np.concatenate(ends), np.repeat(range(3, 7), list(map(len, ends)))
+    back = [np.where(lengths > j, p[np.maximum(at - j, 0)], 0).astype(np.uint64) for j in range(6)]
+    one, number = _tallied(back[0] | back[1] << np.uint64(16) | back[2] << np.uint64(32) | back[3] << np.uint64(48), back[4] | back[5] << np.uint64(16))
+    for e, k, c in zip(at[one].tolist(), lengths[one].tolist(), number.tolist()):
+        out["place", text[e - k + 1 : e + 1]] += c
+
+
 def _beginnings(text: str, start: int, end: int) -> tuple[str, str, str]:
     """An address down to its first unit; the same without its first character, and with the one before it."""
     flat, held = text[start:end].replace("\n", ""), text[max(0, start - 8) : start].replace("\n", "")
@@ -267,7 +435,9 @@ class _SeenRows(_Seen):
         def count(batches):
             for b in batches:
                 seen = observed(strings(b.column(0)))
-                yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([list(k[1:]) for k in seen], pa.list_(pa.string())), pa.array(list(seen.values()), pa.int64())], names=["what", "parts", "n"])
+                offsets = np.cumsum([0, *(len(k) - 1 for k in seen)], dtype=np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for k in seen for x in k[1:]], pa.string()))
+                yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), parts, pa.array(list(seen.values()), pa.int64())], names=["what", "parts", "n"])
 
         every = None
         for f in fields:
@@ -349,7 +519,6 @@ def _fitted(seen: _Seen, every: Counter, precision: float, seed: int, share: flo
         for parts, w in rows:
             fam, own, left, right, longer = parts[:5]
             pro, con, breaks, ends, bounded = map(int, parts[5:])
-            rng = np.random.default_rng([seed, zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass"))])
             if con:
                 label = 0
             elif pro and bounded:
@@ -361,12 +530,14 @@ def _fitted(seen: _Seen, every: Counter, precision: float, seed: int, share: flo
                 label = -1 if fam in family and all(given[c] for c in own) else 0
             if label < 0:
                 continue
+            rng = np.random.default_rng([seed, zlib.crc32("\x1f".join(parts).encode("utf-8", "surrogatepass"))])
             g = [m.given.get(c, 0.0) for c in own]
             x = [float(pro), float(con), m.surname.get(fam, -3.0), min(g), sum(g) / len(g), float(len(own)), m.left.get(left, 0.0), m.right.get(right, 0.0), float(len(fam) > 1), float(breaks), float(ends), g[-1], m.given.get(right, 0.0) if _HAN.match(right) else -9.0]
             for apart, n in _parted(rng, w):
                 if not label:
-                    yield _example("name", apart, label, x), n / 2
-                    yield _example("name", apart, label, [0.0, *x[1:]]), n / 2
+                    values = " ".join(f"{v:.2f}" for v in x[1:])
+                    yield ("name", str(apart), "0", f"{x[0]:.2f} {values}"), n / 2
+                    yield ("name", str(apart), "0", f"0.00 {values}"), n / 2
                     continue
                 around = iter(np.searchsorted(weight, rng.random(2 * draws) * weight[-1], side="right"))
                 for d in range(draws):
@@ -430,18 +601,31 @@ def fit_personal_model(texts: list[str], background: Counter | None = None, prec
 
 def _judge(texts: list[str], m: PersonalModel):
     """(row, type, start, end) of every accepted span of the texts, none overlapping another of its row."""
-    found = [(r, k, a, b) for r, t in enumerate(texts) for k, a, b in _candidates(t)]
-    by_kind: dict[str, list[int]] = {}
-    for i, f in enumerate(found):
-        by_kind.setdefault(f[1], []).append(i)
-    p = np.zeros(len(found))
-    for kind, at in by_kind.items():
-        x = np.array([_features(kind, texts[found[i][0]], found[i][2], found[i][3], m)[0] for i in at])
-        p[at] = m.trees[kind].probability(x) if kind in m.trees else 1.0 - 0.9 * (x[:, 1] > 0)
-        p[at] = np.where(p[at] >= m.threshold[kind], p[at], 0)
+    first = 0
+    for part in bounded(texts, _CHARS):
+        yield from ((first + r, kind, a, b) for r, kind, a, b in _judged(part, m))
+        first += len(part)
+
+
+def _judged(texts: list[str], m: PersonalModel):
+    batch = _Batch(texts)
+    names, others = _Names(batch), list(batch.others())
+    by_kind: dict[str, list] = {}
+    for f in others:
+        by_kind.setdefault(f[1], []).append(f)
+    found = []
+    for kind in TYPES:
+        mine = by_kind.get(kind, [])
+        x = names.features(m) if kind == "name" else np.array([_features(kind, texts[r], a, b, m)[0] for r, _, a, b in mine])
+        if not len(x):
+            continue
+        p = m.trees[kind].probability(x) if kind in m.trees else 1.0 - 0.9 * (x[:, 1] > 0)
+        for i in np.flatnonzero((p >= m.threshold[kind]) & (p > 0)).tolist():
+            r = int(names.row[i]) if kind == "name" else mine[i][0]
+            a, b = (int(names.begin[i] - batch.starts[r]), int(names.end[i] - batch.starts[r])) if kind == "name" else mine[i][2:]
+            found.append((r, -np.round(p[i], 1 if kind in ("name", "phone", "id_number") else 6), a - b, a, TYPES.index(kind), kind, b))
     row, taken = -1, []
-    for i in sorted(np.flatnonzero(p > 0), key=lambda i: (found[i][0], -np.round(p[i], 1 if found[i][1] in ("name", "phone", "id_number") else 6), found[i][2] - found[i][3], found[i][2])):
-        r, kind, a, b = found[i]
+    for r, _, _, a, _, kind, b in sorted(found):
         if r != row:
             row, taken = r, []
         if all(b <= x or a >= y for x, y in taken):

@@ -202,6 +202,31 @@ def test_personal_names_of_common_and_new_characters():
     assert got == {(0, "裴以汀"), (1, "岑以珩"), (2, "郭婧雯")}
 
 
+def test_personal_names_without_given_name_and_around_breaks():
+    # family names of two characters that begin with another family name
+    assert not personal.observed(["告知夏侯，钟离。"])
+    seen = personal.observed(["夏\n侯明。", "被告王小\n\n\n\n公司", "我叫欧阳\n明\n华，", "李\0王明\0公司", "原告张某某"])
+    assert {(k[1] + k[2], k[6], k[7]): n for k, n in seen.items() if k[0] == "name"} == {
+        ("夏侯明", "0", "0"): 1, ("侯明", "0", "0"): 1, ("王小", "1", "1"): 1, ("欧阳明", "1", "0"): 1, ("欧阳明华", "1", "0"): 1, ("王明", "0", "1"): 1, ("张某", "1", "1"): 1, ("张某某", "1", "1"): 1,
+    }
+
+
+def test_personal_names_are_searched_in_arrays():
+    import cProfile
+    import pstats
+
+    def calls(f):
+        profile = cProfile.Profile()
+        profile.runcall(f)
+        return pstats.Stats(profile).total_calls
+
+    model = personal.fit_personal_model(texts_with_names())
+    few, many = (["会上，王小明与李小刚先后发言。" * k] * 50 for k in (1, 40))
+    # 3,900 names more in the same texts must not cost a call each
+    assert calls(lambda: personal.observed(many)) - calls(lambda: personal.observed(few)) < 2_000
+    assert calls(lambda: list(personal._judge(many, model))) - calls(lambda: list(personal._judge(few, model))) < 2_000
+
+
 def test_cross_split(spark):
     a = "邻居在市里私搭棚子物业不管合法吗"
     rows = [(1, a + "？", "train", 1, "x"), (2, a, "dev", 0, None), (3, a + "呀", "test", 1, "y"), (4, None, "dev", 1, "x"), (5, "谢谢", "dev", 1, "x"), (6, "谢谢", "train", 1, "x"), (7, LONG, "train", 1, "x"), (8, LONG[:-3], "test", 1, "x"), (9, a, None, 1, "x"), (10, a, "dev", None, "x"), (11, "毫无关系的另外一段话在这里", "test", 1, "x")]
