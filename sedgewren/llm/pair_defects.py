@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgewren.llm import language
-from sedgewren.llm.common import code_points, fold, gram_sets, histogram, mixed_hash, strings
+from sedgewren.llm.common import bounded, code_points, fold, gram_sets, histogram, mixed_hash, strings
 from sedgewren.session import small, written
 
 # Words that stand for an absent answer, folded.
@@ -54,23 +54,32 @@ DANGLING = re.compile(
 )
 FINAL = "。！？!?.…”\"』」)）】’"
 TAIL, BITS = 6, 20
+_STOPS = np.array([ord(c) for c in FINAL + "；;\n"], np.uint32)
+
+
+# with these alone a number begins; and what is left of a sentence that isn't blank
+_NUMERAL, _FILLED = re.compile("[0-9０-９零〇一二三四五六七八九十百千两]"), re.compile(r"[^，,。！？!?；;：:\s]")
 
 
 def _masked(text: str) -> str:
-    return NUMBERS.sub("#", text)
+    """A sentence with titles emptied and numbers as '#'."""
+    if "《" in text:
+        text = TITLES.sub("《》", text)
+    return NUMBERS.sub("#", text) if _NUMERAL.search(text) else text
 
 
 _CLAUSE = re.compile(r"[，,。！？!?；;：:\n]+")
 # Connectives that don't belong to a template.
 _CONNECTIVE = re.compile(r"^(?:不过|但是|但|因此|所以|而且|(?:but|so|and|therefore)\b)\s*(?=\S)", re.I)
+_CONNECTS = frozenset("不但因所而bsatBSATſ")
 
 
 def sentences(text: str, most: int | None = None) -> list[list[str]]:
     """Masked clauses of each sentence of a text, or of its first ones; blank sentences and clauses don't count."""
     out = []
     for m in SENTENCE.finditer(text):
-        parts = (_CONNECTIVE.sub("", re.sub(r"\s+", " ", x).strip()) for x in _CLAUSE.split(_masked(TITLES.sub("《》", m.group(0)))))
-        parts = [x for x in parts if x]
+        parts = (" ".join(x.split()) for x in _CLAUSE.split(_masked(m.group(0))))
+        parts = [_CONNECTIVE.sub("", x) if x[0] in _CONNECTS else x for x in parts if x]
         if parts:
             out.append(parts)
             if len(out) == most:
@@ -78,6 +87,17 @@ def sentences(text: str, most: int | None = None) -> list[list[str]]:
     return out
 
 
+def _brief(text: str, most: int) -> bool:
+    """Whether a text has ``most`` sentences that aren't blank at most."""
+    left = most
+    for m in SENTENCE.finditer(text):
+        if _FILLED.search(m.group(0)):
+            left -= 1
+            if left < 0:
+                return False
+    return True
+
+
 def clauses(text: str, most: int | None = None) -> list[str]:
     """Masked clauses of a text, or of its first sentences."""
     return [c for s in sentences(text, most) for c in s]
@@ -96,19 +116,21 @@ def _tail_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _tail_counts(batch: pa.RecordBatch) -> np.ndarray:
     """By hash of each ``TAIL`` masked characters of every answer: how often text goes on after them, and how often not."""
-    points, of = _tail_points(strings(batch.column("answer")))
-    out = np.zeros((2, 1 << BITS), np.int64)
-    if len(points) < TAIL:
-        return out
-    value, inside = _tails(points), of[: len(points) - TAIL + 1] == of[TAIL - 1 :]
-    end = np.arange(TAIL, len(points) + 1)
-    last = np.zeros(len(end), bool)
-    last[-1], last[:-1] = True, of[end[:-1]] != of[end[:-1] - 1]
-    stops = last.copy()
-    stops[:-1] |= np.isin(points[end[:-1]], [ord(c) for c in FINAL + "；;\n"])
-    out[0] = np.bincount(value[inside & ~stops], minlength=1 << BITS)
-    out[1] = np.bincount(value[inside & stops & ~last], minlength=1 << BITS)
-    return out
+    on, off = [], []
+    for part in bounded(strings(batch.column("answer")), 100_000):  # arrays that fit in a core's cache
+        points, of = _tail_points(part)
+        if len(points) < TAIL:
+            continue
+        value, inside = _tails(points), of[: len(points) - TAIL + 1] == of[TAIL - 1 :]
+        end = np.arange(TAIL, len(points) + 1)
+        last = np.zeros(len(end), bool)
+        last[-1], last[:-1] = True, of[end[:-1]] != of[end[:-1] - 1]
+        stops = last.copy()
+        stops[:-1] |= np.isin(points[end[:-1]], _STOPS)
+        on.append(value[inside & ~stops])
+        off.append(value[inside & stops & ~last])
+    count = lambda values: np.bincount(np.concatenate(values), minlength=1 << BITS) if values else np.zeros(1 << BITS, np.int64)
+    return np.stack([count(on), count(off)])
 
 
 def _tails(points: np.ndarray) -> np.ndarray:
@@ -130,15 +152,15 @@ def _foreign(texts: list[str]) -> np.ndarray:
     return (kana >= 3) & (kana >= 0.15 * (han + kana)) | (other > 4 * han) & (other >= np.where(han > 0, 6, 2))
 
 
-_CLAUSES = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]+")
 
 
 def _copies(question: str, answer: str) -> bool:
     """Whether nearly all of the answer is the question's own text, in one run of order or repeated."""
     q = question.replace("我", "您").replace("你", "您")
-    clauses = [c for c in _CLAUSES.split(answer.replace("我", "您").replace("你", "您")) if c]
+    clauses = _WORDS.findall(answer.replace("我", "您").replace("你", "您"))
     total = sum(map(len, clauses))
-    if total < 6 or sum(len(c) for c in clauses if c in q) < 0.3 * total:
+    if total < 6 or sum([len(c) for c in clauses if c in q]) < 0.3 * total:
         return False
     q, a = fold(q), fold("".join(clauses))
     if len(a) < 6 or len(q) < 6:
@@ -156,11 +178,12 @@ def _copies(question: str, answer: str) -> bool:
 def _truncated(answer: str, going: np.ndarray, stopping: np.ndarray) -> bool:
     """Whether the text breaks off. A final mark ends a text unless a bare list number comes after the last sentence."""
     text = answer.strip().strip("\u200b\ufeff")
-    cut = re.sub(r"(?:…|\.{2,}|—|--)+$", "", text).rstrip()
+    # expressions for the end are only tried where they can match: from the start they would walk through the whole text
+    cut = re.sub(r"(?:…|\.{2,}|—|--)+$", "", text).rstrip() if text.rstrip("\n").endswith(("…", ".", "—", "-")) else text.rstrip()
     if not cut:
         return False
-    if cut[-1] in FINAL and not re.search(r"[。！？；;，,：:\n](?:[（(][一二三四五六七八九十0-9]{1,2}[）)]|[一二三四五六七八九十0-9]{1,2}[.．、])$", cut):
-        return len(cut) > 8 and bool(re.search(r"[，,、：:][.]$", cut))
+    if cut[-1] in FINAL and not re.search(r"[。！？；;，,：:\n](?:[（(][一二三四五六七八九十0-9]{1,2}[）)]|[一二三四五六七八九十0-9]{1,2}[.．、])$", cut[-5:]):
+        return len(cut) > 8 and bool(re.search(r"[，,、：:][.]$", cut[-2:]))
     text = cut
     if any(text.count(x) > text.count(y) for x, y in ("《》", "（）", "(" + ")", "“”")):
         return True
@@ -193,17 +216,17 @@ def opening_clauses(pairs: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             out = ([], [], [], [])
-            opened = [sentences(t, OPENING + 1) for t in strings(b.column(0))]
-            whole = [i for i, x in enumerate(opened) if 0 < len(x) <= OPENING]
+            answers = strings(b.column(0))
+            opened, short = [clauses(t, OPENING) for t in answers], [_brief(t, OPENING) for t in answers]
+            whole = [i for i, x in enumerate(opened) if x and short[i]]
             asked, q_ = b.column(2).to_pylist(), strings(b.column(1))
             for i, sketch in zip(whole, _signatures([q_[i] for i in whole], 1)[:, 0].astype(np.int64).tolist()):
                 asked[i] = sketch
-            for q, t, begin in zip(asked, strings(b.column(0)), opened):
-                mine, brief = [c for x in begin[:OPENING] for c in x], len(begin) <= OPENING
+            for q, t, mine, brief in zip(asked, answers, opened, short):
                 sorry = brief and bool(APOLOGY.search(t) or DECLINE.search(t))
-                for c in set(mine):
-                    for column, x in zip(out, (c, q, sorry, brief)):
-                        column.append(x)
+                once = set(mine)
+                for column, x in zip(out, (once, *([x] * len(once) for x in (q, sorry, brief)))):
+                    column.extend(x)
             yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.bool_())], names=["clause", "prompt", "sorry", "brief"])
 
     found = pairs.select("answer", "question", F.xxhash64("question")).mapInArrow(cut, "clause string, prompt long, sorry boolean, brief boolean")
@@ -215,7 +238,7 @@ ROWS, BANDS = 3, 10
 
 def _signatures(texts: list[str], hashes: int = ROWS * BANDS) -> np.ndarray:
     """MinHash signatures over 3-character shingles of folded texts; texts below 3 characters get their own value."""
-    folded = [(fold(t) + "   ")[: max(3, len(fold(t)))] for t in texts]
+    folded = [fold(t).ljust(3) for t in texts]
     value, of, sizes = gram_sets(folded, 3)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     return np.stack([np.minimum.reduceat(mixed_hash(value, k + 1), starts) for k in range(hashes)], 1) if len(texts) else np.zeros((0, hashes), np.uint64)
@@ -226,20 +249,26 @@ def _shingles(text: str) -> set[str]:
     return {t[i : i + 3] for i in range(max(1, len(t) - 2))}
 
 
+_FEW = 8
+
+
 def _led(block: list[str], similarity: float):
     """(clause, leader, similarity) of a block in order: the first clause alike to no leader is one itself.
 
     A leader alike to a clause lacks at most ``spare`` of its shingles, so it is found under one of any ``spare + 1`` of them; the
-    seldomest are looked up.
+    seldomest are looked up. A few leaders are all compared, which costs less.
     """
     leaders: list[tuple[set[str], str]] = []
     held: dict[str, list[int]] = {}
     for c in block:
         mine = _shingles(c)
-        spare = len(mine) - math.ceil(similarity * len(mine) - 1e-9)
         best = (0.0, "")
-        for i in set().union(*sorted((held.get(g, ()) for g in mine), key=len)[: spare + 1]):
-            s, name = leaders[i]
+        if len(leaders) > _FEW:
+            spare = len(mine) - math.ceil(similarity * len(mine) - 1e-9)
+            near = [leaders[i] for i in set().union(*sorted((held.get(g, ()) for g in mine), key=len)[: spare + 1])]
+        else:
+            near = leaders
+        for s, name in near:
             if min(len(s), len(mine)) < similarity * max(len(s), len(mine)):
                 continue
             both = len(s & mine)
@@ -247,9 +276,10 @@ def _led(block: list[str], similarity: float):
         if best[0] >= similarity:
             yield c, best[1], best[0]
         else:
-            for g in mine:
-                held.setdefault(g, []).append(len(leaders))
             leaders.append((mine, c))
+            for i in range(len(leaders)) if len(leaders) == _FEW + 1 else (len(leaders) - 1,) if len(leaders) > _FEW else ():
+                for g in leaders[i][0]:
+                    held.setdefault(g, []).append(i)
 
 
 def clause_clusters(found: DataFrame, similarity: float = 0.8, block: int = 1000) -> DataFrame:
@@ -405,9 +435,8 @@ def clause_company(pairs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for t in strings(b.column(0)):
-                begin = sentences(t, OPENING + 1)
-                if len(begin) <= OPENING:
-                    mine = {c for x in begin for c in x}
+                if _brief(t, OPENING):
+                    mine = set(clauses(t))
                     out += [(x, y) for x in mine for y in mine if x != y]
             yield pa.record_batch([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["clause", "other"])
 

@@ -136,6 +136,25 @@ def test_clauses_of_longer_answers_are_clustered(spark):
     assert {r["clause"] for r in templates.collect()} == {*said, "请按程序办理"}
 
 
+def test_sentences_mask_only_what_can_match(monkeypatch):
+    text = "但是，依照《住宅租赁管理条例》第十二条， So  what，应于2020年3月退还。。\n ，！But 请协商；房东应当先行告知"
+    want = [["是", "依照《》第#条", "what", "应于#年#月退还"], ["请协商"], ["房东应当先行告知"]]
+    assert pair_defects.sentences(text.replace("十二", "12")) == want
+    assert [pair_defects._brief(text, k) for k in (2, 3)] == [False, True] and pair_defects._brief("，。\n", 0)
+    # no expression for numbers, titles or connectives walks through a clause that can't hold them
+    for name in ("NUMBERS", "TITLES", "_CONNECTIVE"):
+        monkeypatch.setattr(pair_defects, name, None)
+    assert pair_defects.sentences("押金应当退还，请先协商。可以起诉。", 1) == [["押金应当退还", "请先协商"]]
+
+
+def test_few_and_many_leaders_lead_alike(monkeypatch):
+    block = [f"{a}方要求我们赔偿{b}元损失并且支付利息" for a in "甲乙丙丁戊" for b in "天地玄黄宇宙洪荒"] + [chr(0x4E00 + i) * 3 + "不同的事项" for i in range(20)]
+    few = list(pair_defects._led(block, 0.7))
+    for most in (0, 1000):
+        monkeypatch.setattr(pair_defects, "_FEW", most)
+        assert list(pair_defects._led(block, 0.7)) == few
+
+
 def texts_with_names():
     names = ["阮栎蘅", "欧阳若", "裴珩屿", "陆沅", "温聆晚", "司徒澜", "孟清岚", "秦若棣", "赵岚玥", "乔霁"]
     out = []
