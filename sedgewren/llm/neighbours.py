@@ -2,15 +2,19 @@
 
 Vectors are scaled to unit length and projected on a few random directions. The directions are Gaussian, made orthonormal and
 scaled back, so that the squared projected distance over the squared distance is close to a chi-square variable with as many
-degrees of freedom. A kd-tree over the projections has its upper levels fitted on a bounded sample; they cut the collection into
-cells. Each cell holds its own kd-tree of small leaves. A query takes leaves by projected distance and verifies their vectors
-until the chi-square test says that a better neighbour further out is improbable. Queries first search their own cell; what the
-test leaves open is sent on to other cells with the distance reached so far. A cell's data is sent once, and again only for each
-further ``4 * cell_rows`` queries that other cells send it.
+degrees of freedom. Centres fitted on a bounded sample cut the collection into groups of similar vectors, and planes over the
+centres gather whole groups into cells, so that a row and its neighbours mostly share one. Each cell holds its own kd-tree of
+small leaves. A query takes leaves by projected distance and verifies their vectors until the chi-square test says that a better
+neighbour further out is improbable. Queries first search their own cell; those that may have better neighbours beyond the plane
+between their centre and another one are sent on to that one's cell with the distance reached so far, in rounds of about twice as
+many sendings as there are rows. In a round a cell's data is sent once, and again only for each further ``4 * cell_rows``
+queries that other cells send it.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,6 +98,54 @@ class Cells:
         return (np.concatenate(out_q), np.concatenate(out_c)) if out_q else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+class Regions:
+    """Centres of groups of similar vectors, fitted on a sample, and the cell that holds each group."""
+
+    def __init__(self, sample: np.ndarray, depth: int, project: np.ndarray, per_cell: int = 16, rounds: int = 6):
+        levels = max(0, min(int(np.log2(max(1, per_cell << depth))), int(np.log2(max(1, len(sample) // 4)))))
+        group = Cells(sample @ project, levels).of(sample @ project)
+        self.centres = np.zeros((0, sample.shape[1]), np.float32)
+        for _ in range(rounds):
+            total = np.zeros((group.max() + 1, sample.shape[1]), np.float64)
+            np.add.at(total, group, sample)
+            length = np.sqrt((total**2).sum(1))
+            self.centres = (total[length > 0] / length[length > 0, None]).astype(np.float32)
+            group = self.group(sample)
+        # planes between centres, each counting as often as it has sampled rows
+        z = self.centres @ project
+        self.cell = Cells(z[group], depth).of(z)
+
+    def group(self, x: np.ndarray) -> np.ndarray:
+        step = max(1, 4_000_000 // len(self.centres))
+        return np.concatenate([np.argmax(x[lo : lo + step] @ self.centres.T, axis=1) for lo in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return self.cell[self.group(x)]
+
+    def near(self, x: np.ndarray, reach: np.ndarray, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) of every other cell that may hold rows within a query's distance ``reach``.
+
+        The part along one direction of a displacement of length ``reach`` deviates by ``reach / sqrt(dim)``; beyond
+        ``deviations`` of them to the plane between two centres a row is improbable.
+        """
+        order = np.argsort(self.cell, kind="stable")
+        cells, first = np.unique(self.cell[order], return_index=True)
+        group, out_q, out_c = self.group(x), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for g in np.unique(group):
+            apart = np.sqrt(np.maximum(2 - 2 * self.centres @ self.centres[g], 1e-12))
+            who, step = np.flatnonzero(group == g), max(1, 4_000_000 // len(apart))
+            for lo in range(0, len(who), step):
+                q = who[lo : lo + step]
+                s = x[q] @ self.centres.T
+                gap = (s[:, g, None] - s) / apart
+                open_ = np.minimum.reduceat(gap[:, order], first, axis=1) <= (deviations / np.sqrt(x.shape[1])) * reach[q, None]
+                open_[:, cells == self.cell[g]] = False
+                line, c = np.nonzero(open_)
+                out_q.append(q[line])
+                out_c.append(cells[c])
+        return np.concatenate(out_q), np.concatenate(out_c)
+
+
 def box_distances(z: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     out = np.zeros((len(z), len(low)), np.float32)
     for a in range(z.shape[1]):
@@ -126,8 +178,8 @@ class Tree:
     def search(self, q: np.ndarray, zq: np.ndarray, own: np.ndarray, k: int, quantile: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best ``k`` rows of each query and their similarities (-2 where there are fewer).
 
-        ``own`` is the row that a query is itself, or -1. ``start`` is the similarity to beat. Leaves are taken in rounds by
-        projected distance; a query stops when its next leaf's distance over its k-th distance exceeds the quantile.
+        ``own`` is the row that a query is itself, or -1. ``start`` is the similarity to beat. Leaves are taken several at a time
+        by projected distance; a group of queries leaves out those whose distance over the k-th distance exceeds the quantile for all.
         """
         rows, sims = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -2.0, np.float32)
         sims_floor = start.astype(np.float32)
@@ -138,43 +190,46 @@ class Tree:
 
     def _group(self, q, zq, own, k, quantile, floor, at, rows, sims) -> None:
         near = box_distances(zq[at], self.low, self.high)
-        order = np.argsort(near.min(axis=0), kind="stable")
-        qa = q[at]
+        ahead = np.argsort(near.min(axis=0), kind="stable")
+        qa, mine = q[at], own[at]
         best_r, best_s = rows[at], sims[at]
-        kth = np.maximum(best_s[:, -1], floor[at])
-        for step, leaf in enumerate(order):
+        kth, several = np.maximum(best_s[:, -1], floor[at]), 8
+        while True:
             # squared distance of unit vectors; the test of the projected against the k-th distance reached
-            open_ = near[:, leaf] <= quantile * np.maximum(2 - 2 * kth, 1e-6)
-            if not open_.any():
-                if step >= 1 and near[:, order[step:]].min() > 0 and not (near[:, order[step:]] <= quantile * np.maximum(2 - 2 * kth, 1e-6)[:, None]).any():
-                    break
+            ahead = ahead[(near[:, ahead] <= quantile * np.maximum(2 - 2 * kth, 1e-6)[:, None]).any(axis=0)]
+            if not len(ahead):
+                break
+            now, ahead, several = np.sort(ahead[:several]), ahead[several:], 16
+            place = np.concatenate([np.arange(self.bounds[x], self.bounds[x + 1]) for x in now])
+            s = qa @ self.x[place].T
+            col = np.minimum(np.searchsorted(place, mine), len(place) - 1)
+            inside = np.flatnonzero(place[col] == mine)
+            s[inside, col[inside]] = -3
+            better = s > kth[:, None]
+            w = np.flatnonzero(better.any(axis=1))
+            if not len(w):
                 continue
-            who = np.flatnonzero(open_)
-            b, e = self.bounds[leaf], self.bounds[leaf + 1]
-            s = qa[who] @ self.x[b:e].T
-            mine = own[at[who]]
-            inside = np.flatnonzero((mine >= b) & (mine < e))
-            s[inside, mine[inside] - b] = -3
-            better = s > kth[who, None]
-            lines = np.flatnonzero(better.any(axis=1))
-            if not len(lines):
-                continue
-            w = who[lines]
-            part = s[lines]
-            if part.shape[1] > k:
-                top = np.argpartition(part, -k, axis=1)[:, -k:]
-                part = np.take_along_axis(part, top, 1)
+            if np.count_nonzero(better) > better.size // 16 and len(place) > k:
+                top = np.argpartition(s[w], -k, axis=1)[:, -k:]
+                part = np.take_along_axis(s[w], top, 1)
             else:
-                top = np.broadcast_to(np.arange(part.shape[1]), part.shape)
+                line, c = np.nonzero(better[w])
+                v = s[w[line], c]
+                by = np.lexsort((-v, line))
+                line, c, v = line[by], c[by], v[by]
+                n = np.arange(len(line)) - np.searchsorted(line, line)
+                line, c, v, n = (x[n < k] for x in (line, c, v, n))
+                top, part = np.zeros((len(w), k), np.int64), np.full((len(w), k), -3.0, np.float32)
+                top[line, n], part[line, n] = c, v
             all_s = np.concatenate([best_s[w], part], axis=1)
-            all_r = np.concatenate([best_r[w], top + b], axis=1)
+            all_r = np.concatenate([best_r[w], place[top]], axis=1)
             pick = np.argsort(-all_s, axis=1, kind="stable")[:, :k]
             best_s[w], best_r[w] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_r, pick, 1)
             kth[w] = np.maximum(best_s[w, -1], floor[at[w]])
         rows[at], sims[at] = best_r, best_s
 
 
-def _groups(z: np.ndarray, size: int = 128):
+def _groups(z: np.ndarray, size: int = 256):
     """Cut queries into groups that lie together."""
     parts = [np.arange(len(z))]
     while parts:
@@ -212,13 +267,15 @@ def nearest(
     sample_per_cell: int = 256,
     most_sample: int = 2_000_000,
     seed: int = 7,
+    deviations: float = 2.25,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): for each row with a usable vector its ``k`` most similar other rows.
 
     Rows with a NULL, all-zero, non-finite or wrongly sized vector are left out. Copies of one vector are searched once; equal
     similarities are ranked by id. ``confidence`` is the chi-square stopping probability: a query stops when a better neighbour
-    would lie as near in projection only with that probability. The upper planes are fitted on about ``sample_per_cell`` projected
-    vectors for each cell, at most about ``most_sample``; every vector is indexed and searched. Fewer than two usable rows give no rows.
+    would lie as near in projection only with that probability; ``deviations`` is the same for other cells (``Regions.near``). Centres
+    are fitted on about ``sample_per_cell`` vectors for each cell, at most about ``most_sample``; every vector is indexed and
+    searched. Fewer than two usable rows give no rows.
     """
     spark = rows.sparkSession
     project = directions(dim, m, seed)
@@ -241,24 +298,23 @@ def nearest(
     depth = max(0, int(np.ceil(np.log2(count / cell_rows))))
     sample = min(most_sample, sample_per_cell << depth)
 
-    def projected(batches):
-        for b in batches:
-            z = _floats(b.column(0), dim) @ project
-            yield pa.record_batch([pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * m), len(z), [None, pa.py_buffer(np.ascontiguousarray(z))]).cast(pa.binary())], names=["z"])
-
-    picked = np.zeros((0, m), np.float32)
+    regions = None
     if depth:
         some = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000_000)) < F.lit(int(min(1.0, sample / count) * 1_000_000_000))).select("v")
-        picked = _floats(some.mapInArrow(projected, "z binary").limit(2 * sample).toArrow()["z"], m)
-    cells = Cells(picked, depth)
-    shared = spark.sparkContext.broadcast((project, cells))
+        picked = np.unique(_floats(some.limit(2 * sample).toArrow()["v"], dim), axis=0)
+        if len(picked):
+            regions = Regions(picked, depth, project)
+        else:
+            depth = 0
+    shared = spark.sparkContext.broadcast((project, regions))
 
     def route(batches):
-        proj, c = shared.value
+        _, c = shared.value
         for b in batches:
             h, first = np.unique(b.column("h").to_numpy(), return_index=True)  # copies are sent once
             v = b.column("v").take(pa.array(first))
-            yield pa.record_batch([pa.array(c.of(_floats(v, dim) @ proj).astype(np.int32)), pa.array(h), v], names=["cell", "h", "v"])
+            cell = c.of(_floats(v, dim)) if c else np.zeros(len(h))
+            yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(h), v], names=["cell", "h", "v"])
 
     routed = vectors.select(F.xxhash64("v").alias("h"), "v").mapInArrow(route, "cell int, h long, v binary").repartition(max(1, 1 << depth), "cell")
     placed = written(routed.groupBy("cell", "h").agg(F.first("v").alias("v")))
@@ -276,22 +332,22 @@ def nearest(
         ok = s > -1.5
         line = np.nonzero(ok)[0]
         hits = (h[line], ours[found[ok]], s[ok])
-        # what the test leaves open: other cells near enough for the k-th distance reached
-        q, to = c.near(z, quantile * np.maximum(2 - 2 * s[:, -1], 1e-6))
-        elsewhere = to != int(t["cell"][0].as_py())
-        q, to = q[elsewhere], to[elsewhere]
-        size = len(line) + len(q)
+        # one row for each query that other cells may answer, with the similarity reached
+        q, to = c.near(x, np.sqrt(np.maximum(2 - 2 * s[:, -1], 1e-6)), deviations) if c else (np.empty(0, np.int64),) * 2
+        by = np.argsort(q, kind="stable")
+        q, start = np.unique(q[by], return_index=True)
+        ends = pa.array([None] * len(line) + np.concatenate([start, [len(to)]]).astype(np.int32).tolist(), pa.int32())
         return pa.table(
             {
                 "h": pa.array(np.concatenate([hits[0], h[q]])),
                 "other": pa.array(np.concatenate([hits[1], np.zeros(len(q), np.int64)])),
                 "s": pa.array(np.concatenate([hits[2], s[q, -1]]).astype(np.float32)),
-                "cell": pa.array(np.concatenate([np.full(len(line), -1), to]).astype(np.int32)),
-                "v": pa.concat_arrays([pa.nulls(len(line), pa.binary()), t["v"].combine_chunks().take(pa.array(q))]) if size else pa.array([], pa.binary()),
+                "cells": pa.ListArray.from_arrays(ends, pa.array(to[by].astype(np.int32))),
+                "v": pa.concat_arrays([pa.nulls(len(line), pa.binary()), t["v"].combine_chunks().take(pa.array(q))]),
             }
         )
 
-    first = written(placed.groupBy("cell").applyInArrow(home, hit + ", cell int, v binary"))
+    first = written(placed.groupBy("cell").applyInArrow(home, hit + ", cells array<int>, v binary"))
 
     def visit(_key, data: pa.Table, asked: pa.Table) -> pa.Table:
         proj, _ = shared.value
@@ -303,15 +359,22 @@ def nearest(
         ok = s > -1.5
         return pa.table({"h": asked["h"].to_numpy()[np.nonzero(ok)[0]], "other": data["h"].to_numpy()[tree.rows][found[ok]], "s": s[ok]})
 
-    hits = first.where("cell < 0").select("h", "other", "s")
-    if depth:
+    hits = first.where("cells IS NULL").select("h", "other", "s")
+    sent = first.where("cells IS NOT NULL")
+    rounds = -(-(sent.agg(F.sum(F.size("cells")).alias("n")).first()["n"] or 0) // (2 * count))
+    for n in range(rounds):
         # no task gets more than a bounded part of a cell's queries; a cell is sent once for each part
-        asked = first.where("cell >= 0")
+        asked = sent.select("h", "s", "v", F.explode("cells").alias("cell")).where(F.col("cell") % rounds == n)
         parts = written(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (4 * cell_rows)).cast("int").alias("parts")))
         parts = small(parts)
         asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("h"), "parts").cast("int"))
         data = placed.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hits = hits.unionByName(data.select("cell", "part", "h", "v").groupBy("cell", "part").cogroup(asked.select("cell", "part", "h", "v", "s").groupBy("cell", "part")).applyInArrow(visit, hit))
+        found = written(data.select("cell", "part", "h", "v").groupBy("cell", "part").cogroup(asked.select("cell", "part", "h", "v", "s").groupBy("cell", "part")).applyInArrow(visit, hit))
+        hits = hits.unionByName(found)
+        if rounds > 1:  # a round's shuffle is deleted when the driver collects its garbage
+            del asked, parts, data
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     by_class = Window.partitionBy("h").orderBy(F.desc("s"), "other")
     best = hits.withColumn("r", F.row_number().over(by_class)).where(F.col("r") <= k).select("h", "other", "s")
     few = member.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("place") <= k + 1).select("h", "id")

@@ -445,3 +445,26 @@ def test_page_noise(spark):
     assert got[5003]["text"] == "" and got[5003]["noise_kinds"] == [] and got[5007]["noise_kinds"] == []
     empty = df.limit(0)
     assert page_noise.repaired(empty, page_noise.page_model(empty)).count() == 0
+
+
+def test_regions_send_few_queries_to_other_cells():
+    import numpy as np
+
+    rng, unit = np.random.default_rng(2), lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    x = 0.12 * rng.standard_normal((24000, 64)) + unit(rng.standard_normal((200, 64)))[rng.integers(0, 200, 24000)]
+    x = unit(x).astype(np.float32)
+    project = neighbours.directions(64, 16, 7)
+    regions = neighbours.Regions(x[:4096], 4, project)
+    cell = regions.of(x)
+    asked = np.arange(0, 24000, 80)
+    s = x[asked] @ x.T
+    s[np.arange(300), asked] = -3
+    best = np.argsort(-s, axis=1)[:, :5]
+    reach = np.sqrt(2 - 2 * np.take_along_axis(s, best, 1)[:, -1])
+    q, c = regions.near(x[asked], reach, 2.25)
+    visited = np.zeros((300, 16), bool)
+    visited[q, c] = True
+    assert not visited[np.arange(300), cell[asked]].any()
+    visited[np.arange(300), cell[asked]] = True
+    # cells cut by planes through all rows were sent over 10 times as many
+    assert np.take_along_axis(visited, cell[best], 1).mean() > 0.99 and len(q) < 4 * 300 and np.bincount(cell).max() < 4000
