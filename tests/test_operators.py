@@ -289,3 +289,19 @@ def test_chunk_format(spark):
     assert {(r["chunk_type"], r["n"]) for r in chunking.chunk_summary(made).collect()} == {("article", 1), ("error", 1)}
     with pytest.raises(ValueError):
         chunking.assert_chunk_format(made.drop("path"))
+
+
+def test_close_pairs_equal_all_totals():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    key = np.unique(rng.integers(0, 40, 700) * 300 + np.minimum(rng.geometric(0.02, 700), 299))
+    number, term, weight = key // 300, key % 300 * 7, rng.standard_normal(len(key)) * 5
+    block = retrieval._Block(40, term, number, weight, dense=20)
+    doc, held = np.repeat(np.arange(90), 30), rng.random(2700)
+    entries = block.known(np.concatenate([rng.choice(310, 30, replace=False) * 7 for _ in range(90)]), doc, held)
+    total, seen = block.totals(np.arange(40), 90, *entries)
+    for place in (1, 30):
+        least = np.sort(total, axis=1)[:, -place]  # ties with the least score count
+        q, c, units = block.close(least, np.ones(40, bool), 90, *entries)
+        assert set(zip(q, c, units)) == {(i, j, total[i, j]) for i, j in zip(*np.nonzero(seen & (total >= least[:, None])))}
